@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from netloom.llm import simhash
+from netloom.llm import decontaminate, simhash, url_filter
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op10_url_filter": url_filter.op10_url_filter,
+}
+ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}
