@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from netloom.llm import decontaminate, simhash, url_filter
+from netloom.llm import decontaminate, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
 }
