@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from netloom.llm import decontaminate, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from netloom.llm import decontaminate, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_quality": quality.op4_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
