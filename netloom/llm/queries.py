@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from netloom.llm import decontaminate, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from netloom.llm import decontaminate, nearest, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_quality": quality.op4_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_nearest": nearest.op7_nearest,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
