@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from netloom.llm import decontaminate, nearest, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from netloom.llm import decontaminate, nearest, pieces, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_quality": quality.op4_quality,
+    "op5_pieces": pieces.op5_pieces,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_nearest": nearest.op7_nearest,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
