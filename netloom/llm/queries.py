@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from netloom.llm import decontaminate, nearest, pieces, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from netloom.llm import decontaminate, nearest, pieces, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_token_files": token_files.op3_token_files,
     "op4_quality": quality.op4_quality,
     "op5_pieces": pieces.op5_pieces,
     "op6_decontaminate": decontaminate.op6_decontaminate,
