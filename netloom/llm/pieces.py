@@ -12,7 +12,8 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from netloom.llm.token_counts import MARK, NO_PREFIX, model_bytes, pre_tokens
 
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
-BLOCK, THREADS = 8 << 20, 2
+BLOCK, THREADS = 4 << 20, 2
+BATCH, WORDS = 20_000, 400_000  # pre-tokens encoded at once, and remembered before all are forgotten
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -118,7 +120,7 @@ class PieceModel:
 
 
 class Encoder:
-    """Token ids of documents, as the sentencepiece library gives them for whole texts."""
+    """Token ids of documents, as the sentencepiece library gives them for whole texts, and back."""
 
     def __init__(self, data: bytes, threads: int = THREADS):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -131,7 +133,25 @@ class Encoder:
         self.words = self.model.tokenizer(whole=False) if self.by_words else None
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=data + NO_PREFIX)
+        self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace("▁", " ").encode() for p, _, kind in self.model.pieces]
         self.differ = 0  # pre-tokens or texts that the library encodes in another way
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.size, self.flat, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new pre-tokens in batches and verify each against the library."""
+        sizes, flats, bads = [self.size], [self.flat], [self.bad]
+        for a in range(0, len(words), BATCH):
+            some = [w.decode() for w in words[a : a + BATCH]]
+            mine = [x.ids for x in self.words.encode_batch_fast(some, add_special_tokens=False)]
+            bads.append(np.fromiter((x != y for x, y in zip(mine, self.bare.encode(some), strict=True)), bool, len(some)))
+            sizes.append(np.fromiter(map(len, mine), np.int64, len(mine)))
+            flats.append(np.fromiter(chain.from_iterable(mine), np.int32, int(sizes[-1].sum())))
+            self.differ += int(bads[-1].sum())
+        self.size, self.flat, self.bad = np.concatenate(sizes), np.concatenate(flats), np.concatenate(bads)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_words:
@@ -139,47 +159,61 @@ class Encoder:
             mine, theirs = [x.ids for x in self.whole.encode_batch_fast(strings, add_special_tokens=False)], self.library.encode(strings)
             self.differ += sum(a != b for a, b in zip(mine, theirs, strict=True))
             return [np.array(x, np.int32) for x in theirs]
-        known: dict[bytes, int] = {}
+        if len(self.known) > WORDS:
+            self._forget()
+        known, before = self.known, len(self.known)
         docs = [[known.setdefault(w, len(known)) for w in pre_tokens(t)] for t in texts]
-        words = [w.decode() for w in known]
-        mine = [x.ids for x in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        bad = np.fromiter((a != b for a, b in zip(mine, self.bare.encode(words), strict=True)), bool, len(words))
-        self.differ += int(bad.sum())
-        size = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.fromiter(chain.from_iterable(mine), np.int32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        out = []
+        self._learn(list(islice(known, before, None)))
+        begin = np.cumsum(self.size) - self.size
+        out, any_bad = [], self.bad.any()
         for text, doc in zip(texts, docs, strict=True):
             w = np.array(doc, np.int64)
-            if bad.any() and bad[w].any():
+            if any_bad and self.bad[w].any():
                 out.append(np.array(self.library.encode(text.decode()), np.int32))
             else:
-                n = size[w]
-                out.append(flat[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+                n = self.size[w]
+                out.append(self.flat[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """By the pieces' bytes; ids that don't make whole UTF-8 characters go through the tokenizer's own decoder."""
+        out = []
+        for own in ids:
+            own = own.tolist()
+            try:
+                text = b"".join(map(self.bytes.__getitem__, own)).decode()
+                out.append(text[1:] if self.model.prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.whole.decode(own, skip_special_tokens=False))
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(data: bytes, threads: int) -> Encoder:
+    """Kept between the tasks of a Python worker."""
+    return Encoder(data, threads)
 
 
-def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", threads: int = THREADS) -> DataFrame:
-    """All columns of docs, with ids (array of int). Null and empty texts have no ids. Columns named ids give way.
+def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", threads: int = THREADS, decoded: str | None = None) -> DataFrame:
+    """All columns of docs, with ids (array of int) and, if a name is given, the text decoded from them. Null and empty
+    texts have no ids and decode to an empty text. Columns of docs named like a result give way to it.
 
     Rows are encoded one by one whatever they repeat; texts of any length are encoded whole.
     """
-    keep = [c for c in docs.columns if c != "ids"]
+    keep = [c for c in docs.columns if c not in ("ids", decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, threads)
+        own_encoder = encoder(model, threads)
         for _, own in blocks(batches, BLOCK, text_col):
-            ids = encoder.encode(list(chain.from_iterable(binary(c) for c in own.column(text_col).chunks)))
+            ids = own_encoder.encode(list(chain.from_iterable(binary(c) for c in own.column(text_col).chunks)))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-            t = pa.table([*(own.column(c) for c in keep), lists], names=[*keep, "ids"])
-            yield from t.combine_chunks().to_batches(max_chunksize=4096)
+            more = [pa.array(own_encoder.decode(ids), pa.string())] if decoded else []
+            t = pa.table([*(own.column(c) for c in keep), lists, *more], names=[*keep, "ids", *([decoded] if decoded else [])])
+            yield from t.combine_chunks().to_batches(max_chunksize=1024)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, f"{kinds}, ids array<int>")
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, f"{kinds}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -187,11 +221,10 @@ def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str
     keep = [c for c in rows.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PieceModel(model).tokenizer()
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 b = whole.slice(a, 1024)
-                texts = tokenizer.decode_batch([x or [] for x in b.column(ids_col).to_pylist()], skip_special_tokens=False)
+                texts = encoder(model, THREADS).decode([np.array(x or [], np.int32) for x in b.column(ids_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
@@ -202,6 +235,6 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids as text digest, and whether decoding gives the text (with the marker as a space)."""
     model = model_bytes("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode_pieces(encode_pieces(docs, model), model)
+    back = encode_pieces(docs, model, decoded="decoded")
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
