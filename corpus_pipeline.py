@@ -1,2 +1,61 @@
-STAGES: list = []
-ORACLE_SQL = None
+"""A training corpus in five stages; each works on all that the one before it kept."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netloom.llm import decontaminate, pieces, quality, simhash, suffix_dedup
+from netloom.llm.common import shared_dir, table
+from netloom.llm.token_counts import model_bytes
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return simhash.one_per_group(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes of 100-byte strings that start earlier in the corpus; bytes of a character
+    that a cut leaves incomplete go as well."""
+    kept = suffix_dedup.dedup_substrings(docs)
+    whole = F.try_validate_utf8(F.col("kept").cast("string"))
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids."""
+    return pieces.encode_pieces(docs, model_bytes("piece_bpe_32k.model")).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("simhash near-dedup", distinct),
+    ("suffix-array dedup", unrepeated),
+    ("benchmark decontamination", uncontaminated),
+    ("sentencepiece encoding", encoded),
+]
+ORACLE_SQL = None  # no stage but the fourth can be put in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

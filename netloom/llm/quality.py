@@ -166,6 +166,26 @@ def held_out(id_col) -> F.Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Model, DataFrame]:
+    """The fitted model, and the statistics of all rows of docs."""
+    stats = stored(document_statistics(docs, id_col, text_col), "statistics")
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
+    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.avg("label").alias("label"))
+    return fit(stored(stats.join(known, "id").select("stats", "label"), "train")), stats
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
+    """The rows of docs, in all their columns, that score `cut` or more; trained as for quality_scores()."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stats = np.array([statistics(t) for t in binary(b.column(text_col))], np.float32).astype(np.float64).reshape(-1, DIM)
+            yield b.filter(pa.array(model.value.score(stats) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
     """One row per row of docs: (id, held_out, score, predicted).
 
@@ -173,10 +193,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     null labels and ids are left out. Only the text's statistics enter a score; null counts as empty, and empty texts
     are scored like any other. Without labels every score is 0.5. Repeated rows get the same score.
     """
-    stats = stored(document_statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
-    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.avg("label").alias("label"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(stored(stats.join(known, "id").select("stats", "label"), "train")))
+    fitted, stats = train(docs, labels, id_col, text_col, label_col)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

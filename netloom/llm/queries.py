@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from netloom.llm import decontaminate, nearest, pieces, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash": simhash.op1_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_token_files": token_files.op3_token_files,

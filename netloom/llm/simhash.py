@@ -63,17 +63,21 @@ def fingerprints_of(texts: list[bytes], size: int, seed: int) -> np.ndarray:
     return out
 
 
+def text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp long: the fingerprint's bits, signed). Null and empty texts, and texts without words: 0."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, th: xxhash64 of the text, fp long: the fingerprint's bits, signed). Null and empty texts, and texts without words: 0."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text_col).alias("th"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = fingerprints_of(binary(b.column("text")), size, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp)], names=["id", "th", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, f"id {kind}, th long, fp long")
 
 
 def _boxes(fp: np.ndarray) -> np.ndarray:
@@ -183,7 +187,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One row per row of docs: (id, fp, component), component being the least id that links of `radius` or fewer bits
+    """One row per row of docs: (id, th, fp, component), component being the least id that links of `radius` or fewer bits
     reach, the row's own included.
 
     Null, empty and wordless texts have fingerprint 0 and link like any other. Rows with a repeated id each keep their
@@ -196,7 +200,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(named, "roots")
     low = named.groupBy("root").agg(F.min("least").alias("component"))
     label = named.join(low, "root").select("fp", "component")
-    return own.join(label, "fp").select("id", "fp", "component")
+    return own.join(label, "fp").select("id", "th", "fp", "component")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id names their component, and one row of those that repeat both id and text."""
+    found = near_duplicates(docs, id_col, text_col, **how)
+    stay = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    own = docs.withColumn("__text_hash", text_hash(text_col))
+    kept = own.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
