@@ -17,9 +17,9 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192  # ids in a block
+BLOCK = 4096  # ids in a block
 LANES = 1024  # blocks coded side by side
-EPOCHS = (64, 256, 1024, 4096)
+EPOCHS = (64, 256, 1024)
 ID_BITS, SLOT_BITS, TOTAL_BITS = 16, 14, 20
 SLOTS2, SLOTS1, RATE = 1 << 12, 1 << 11, 5
 HEAD = struct.Struct("<III")  # ids, 16-bit words, crc32 of the ids as little-endian unsigned 32-bit integers
@@ -53,10 +53,10 @@ class _State:
         """Candidates and the bounds of the events among 2^20."""
         self.at2 = self.base2 + ((self.before * 40503 + self.last * 30011 >> 4) & (SLOTS2 - 1))
         self.at1 = self.base1 + ((self.last * 40503 >> 5) & (SLOTS1 - 1))
-        self.entry2, self.entry1 = self.table2[self.at2], self.table1[self.at1]
+        self.entry2, self.entry1 = self.table2.take(self.at2), self.table1.take(self.at1)
         self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
         self.trust = self.base_trust + ((self.entry2 & 3) << 3 | (self.entry1 & 3) << 1 | (self.guess2 == self.guess1))
-        self.row_trust, self.row_past = self.by_trust[self.trust], self.by_past[self.base_past + self.past]
+        self.row_trust, self.row_past = self.by_trust.take(self.trust, 0), self.by_past.take(self.base_past + self.past, 0)
         p = self.row_trust + self.row_past  # at most 2^17 in all
         f2, f1, fn = 64 + (p[:, 0] * 15 >> 1), 64 + (p[:, 1] * 15 >> 1), 64 + (p[:, 3] * 15 >> 1)
         self.end2 = f2
@@ -64,9 +64,10 @@ class _State:
         self.end0 = (1 << TOTAL_BITS) - fn  # order 0 lies between end1 and end0
 
     def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
+        spot = self.lane * 4 + event
         for table, rows, row in ((self.by_trust, self.trust, self.row_trust), (self.by_past, self.base_past + self.past, self.row_past)):
-            row -= row >> RATE
-            row[self.lane, event] += (1 << 16) - row.sum(axis=1, dtype=np.int32)
+            row -= row >> RATE  # rounded down, so the sum stays within 2^16 + 92
+            row.ravel()[spot] += (1 << (16 - RATE)) - 1
             table[rows] = row
         plain = (ids << 2 | 1).astype(np.int32)
         for table, at, entry, guess in ((self.table2, self.at2, self.entry2, self.guess2), (self.table1, self.at1, self.entry1, self.guess1)):

@@ -30,7 +30,8 @@ from netloom.llm import mixing
 from netloom.llm.common import binary, blocks, pack, partitions, shared_dir, table, unpack
 from netloom.llm.token_counts import model_bytes
 
-SEGMENT = 12 << 20  # bytes of text in a segment
+SEGMENT = 6 << 20  # bytes of text in a segment
+BATCH = 20_000  # texts or chunks encoded at once
 CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")  # UTF-8
 SCHEMA = "shard int, seq int, n_ids long, docs binary, payload binary"
@@ -51,7 +52,10 @@ class Chunks:
         self.exact = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer") and plain
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        out: list[list[int]] = []
+        for a in range(0, len(texts), BATCH):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[a : a + BATCH]], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by `end`; number of ids of each)."""
