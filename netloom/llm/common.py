@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -63,6 +64,23 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    try:
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in small batches."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+    trim()
+
+
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES, text: str = "text") -> Iterator[tuple[int, pa.Table]]:
     """Rows of a task in runs of about `limit` bytes of text, with a number that is the same whenever the task runs again."""
     pid, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -76,8 +94,11 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES, text: st
             if size >= limit:
                 yield (pid << 24) | seq, pa.Table.from_batches(held).combine_chunks()
                 seq, held, size = seq + 1, [], 0
+                trim()
     if held:
         yield (pid << 24) | seq, pa.Table.from_batches(held).combine_chunks()
+        held = []
+    trim()
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

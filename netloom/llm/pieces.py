@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, table
+from netloom.llm.common import binary, blocks, table, trim
 from netloom.llm.token_counts import MARK, NO_PREFIX, model_bytes, pre_tokens
 
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
 BLOCK, THREADS = 4 << 20, 2
-BATCH, WORDS = 20_000, 400_000  # pre-tokens encoded at once, and remembered before all are forgotten
+BATCH, WORDS = 10_000, 200_000  # pre-tokens encoded at once, and remembered before all are forgotten
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -135,9 +135,9 @@ class Encoder:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=data + NO_PREFIX)
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace("▁", " ").encode() for p, _, kind in self.model.pieces]
         self.differ = 0  # pre-tokens or texts that the library encodes in another way
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.size, self.flat, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
 
@@ -160,7 +160,7 @@ class Encoder:
             self.differ += sum(a != b for a, b in zip(mine, theirs, strict=True))
             return [np.array(x, np.int32) for x in theirs]
         if len(self.known) > WORDS:
-            self._forget()
+            self.forget()
         known, before = self.known, len(self.known)
         docs = [[known.setdefault(w, len(known)) for w in pre_tokens(t)] for t in texts]
         self._learn(list(islice(known, before, None)))
@@ -211,6 +211,8 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", threads
             more = [pa.array(own_encoder.decode(ids), pa.string())] if decoded else []
             t = pa.table([*(own.column(c) for c in keep), lists, *more], names=[*keep, "ids", *([decoded] if decoded else [])])
             yield from t.combine_chunks().to_batches(max_chunksize=1024)
+        own_encoder.forget()
+        trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, f"{kinds}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))

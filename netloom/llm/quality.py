@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, pack, stored, table, unpack
+from netloom.llm.common import binary, pack, slices, stored, table, unpack
 
 WIDTH, GAMMA, RIDGE, SEED, BINS = 192, 0.05, 1e-2, 7, 2048
 CLASSES = np.zeros(256, np.uint8)  # 0 control, 1 white space, 2 lower, 3 upper, 4 digit, 5 sentence mark, 6 other mark, 7 lead byte, 8 continuation
@@ -63,7 +63,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             stats = np.array([statistics(t) for t in binary(b.column("text"))], np.float32).reshape(-1, DIM)
             column = pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), DIM).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), column], names=["id", "stats"])
@@ -179,7 +179,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             stats = np.array([statistics(t) for t in binary(b.column(text_col))], np.float32).astype(np.float64).reshape(-1, DIM)
             yield b.filter(pa.array(model.value.score(stats) >= cut))
 

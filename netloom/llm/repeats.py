@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, pack, partitions, runs, unpack
+from netloom.llm.common import binary, blocks, pack, partitions, runs, trim, unpack
 
 NO_ID = np.iinfo(np.int64).max
 #: Cells of each of the sketch's two rows, one bit each when merged: 2 x 64 MB at most. A fuller sketch lets more unrepeated windows pass; it never loses one.
@@ -133,8 +133,9 @@ def removed_spans(rows: DataFrame, emit: Emit, reduce: Reduce, width: int, limit
                     blobs.append(blob)
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind], pa.int8()), pa.array([blob], pa.binary())], names=names[1:])
-        for block, gone in reduce(held, blobs):
+        for block, gone in reduce(held, blobs):  # empties blobs
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1], pa.int8()), pa.array([pack(*gone)], pa.binary())], names=names[1:])
+        trim()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, gone = None, None, []

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import batch, binary, partitions, stored, table
+from netloom.llm.common import batch, binary, partitions, slices, stored, table
 from netloom.llm.components import components
 
 TILE, SUB = 1 << 16, 1 << 10
@@ -57,7 +57,7 @@ def fingerprints_of(texts: list[bytes], size: int, seed: int) -> np.ndarray:
         if h := shingle_hashes(text, size, seed):
             at.append((k, len(held)))
             held += h
-        if len(held) > 1 << 18:
+        if len(held) > 1 << 17:
             flush()
     flush()
     return out
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = fingerprints_of(binary(b.column("text")), size, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp)], names=["id", "th", "fp"])
 

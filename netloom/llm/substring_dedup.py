@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, pack, partitions, table, unpack
+from netloom.llm.common import binary, pack, partitions, slices, table, unpack
 from netloom.llm.repeats import count_min, identified, mixed, removed_spans, with_spans
 
 SHINGLE, BLOCK = 5, 8 << 20
@@ -129,6 +129,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not held:
             return
         cols = list(zip(*map(unpack, blobs), strict=True))
+        blobs.clear()
         a, b, owner, doc, start = (np.concatenate(c) for c in cols)
         source = np.repeat(np.arange(len(held)), [len(x) for x in cols[0]])
         order = np.lexsort((owner, b, a))
@@ -146,7 +147,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = with_spans(docs.drop("n_words", "removed", "kept"), spans, id_col, text_col)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             count, gone, kept = [], [], []
             for text, blob in zip(binary(b.column(text_col)), b.column("__spans").to_pylist(), strict=True):
                 words = text.split()
