@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096  # ids in a block
+BLOCK = 2048  # ids in a block
 LANES = 1024  # blocks coded side by side
 EPOCHS = (64, 256, 1024)
 ID_BITS, SLOT_BITS, TOTAL_BITS = 16, 14, 20

@@ -18,7 +18,8 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import mixing
-from netloom.llm.common import binary, blocks, pack, partitions, shared_dir, table, unpack
+from netloom.llm.common import binary, blocks, pack, partitions, shared_dir, slices, table, trim, unpack
 from netloom.llm.token_counts import model_bytes
 
-SEGMENT = 6 << 20  # bytes of text in a segment
-BATCH = 20_000  # texts or chunks encoded at once
+SEGMENT = 4 << 20  # bytes of text in a segment
+BATCH, CHUNKS = 10_000, 200_000  # texts or chunks encoded at once, and remembered before all are forgotten
 CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")  # UTF-8
 SCHEMA = "shard int, seq int, n_ids long, docs binary, payload binary"
@@ -49,6 +50,7 @@ class Chunks:
         own = json.loads(tokenizer_json)
         before = own.get("pre_tokenizer") or {}
         plain = all(not a["lstrip"] and not a["rstrip"] and not re.search(r"\s", a["content"]) for a in own.get("added_tokens") or ())
+        self.forget()
         self.exact = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer") and plain
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
@@ -57,26 +59,42 @@ class Chunks:
             out += [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[a : a + BATCH]], add_special_tokens=False)]
         return out
 
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        own = self._ids(chunks)
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.uint32, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
+
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by `end`; number of ids of each)."""
-        known: dict[bytes, int] = {}
-        docs = []
+        if len(self.known) > CHUNKS:
+            self.forget()
+        known, before, docs = self.known, len(self.known), []
         for text in texts:
             parts = CHUNK.findall(text) if self.exact and not OTHER_SPACE.search(text) else [text] if text else []
             docs.append([known.setdefault(c, len(known)) for c in parts])
-        own = self._ids(list(known)) + [[end]]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter(chain.from_iterable(own), np.int64, int(size.sum()))
+        self._learn(list(islice(known, before, None)))
+        size, flat = np.append(self.size, 1), np.append(self.flat, np.uint32(end))
         begin = np.cumsum(size) - size
-        last = len(own) - 1
+        last = len(size) - 1
         code = np.fromiter(chain.from_iterable([*d, last] for d in docs), np.int64, sum(map(len, docs)) + len(docs))
         n = size[code]
-        ids = flat[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ids = flat[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
         ends = np.cumsum([len(d) + 1 for d in docs]) - 1
         total = np.cumsum(n)[ends] if len(docs) else np.zeros(0, np.int64)
         return ids, np.diff(total, prepend=0)
 
 
+@lru_cache(maxsize=2)
+def chunks(tokenizer_json: bytes) -> Chunks:
+    """Kept between the tasks of a Python worker."""
+    return Chunks(tokenizer_json)
+
+
 def write_token_files(docs: DataFrame, tokenizer_json: bytes, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text, `end` appended to each, in ascending order of id (a long); equal ids in the order
     of their texts, null ids first. Null texts are empty. No rows: a dataset without segments. Ids must lie below 2^16.
@@ -85,7 +103,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: bytes, path: str, end: in
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = Chunks(tokenizer_json), TaskContext.get().partitionId()
+        encode, shard = chunks(tokenizer_json), TaskContext.get().partitionId()
         for seq, (_, own) in enumerate(blocks(batches, SEGMENT)):
             ids, size = encode(list(chain.from_iterable(binary(c) for c in own.column("text").chunks)), end)
             if ids.max(initial=0) >> mixing.ID_BITS:
@@ -95,6 +113,8 @@ def write_token_files(docs: DataFrame, tokenizer_json: bytes, path: str, end: in
             parts = mixing.encode_blocks([ids[k : k + mixing.BLOCK] for k in range(0, len(ids), mixing.BLOCK)])
             payload = struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)]), pa.array([index], pa.binary()), pa.array([payload], pa.binary())], names=["shard", "seq", "n_ids", "docs", "payload"])
+        encode.forget()
+        trim()
 
     rows.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
 
@@ -116,7 +136,7 @@ def _read(spark: SparkSession, path: str, kind: str, column) -> DataFrame:
     name = kind.split(" ")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             for k in range(b.num_rows):
                 none, own, size = unpack(b.column("docs")[k].as_py())
                 ids = segment_ids(b.column("payload")[k].as_py())
