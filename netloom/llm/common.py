@@ -37,6 +37,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB between the JVM and Python, where texts are long; smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key, None)) > 4 << 20:
+        spark.conf.set(key, str(4 << 20))
+
+
+def _bytes(setting: str | None) -> int:
+    text = (setting or "").strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(text[-1:], 0)
+    number = text[:-1] if unit else text
+    return int(number) << unit if number.isdigit() else 1 << 62
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, runs, table
+from netloom.llm.common import binary, blocks, modest, runs, table
 
 SLICE_BYTES = 8 << 20
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -131,6 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     nothing is hit. Whole texts of any length are matched, in blocks of documents.
     """
     spark = docs.sparkSession
+    modest(spark)
     keep = [c for c in (keep or docs.columns) if c not in ("n_words", "n_hit", "spans", "items")]
     now = docs.select(F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in keep), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("items"))
     texts = docs.select(F.col(f"`{text_col}`").alias("__text"))

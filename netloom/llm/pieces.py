@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, table, trim
+from netloom.llm.common import binary, blocks, modest, table, trim
 from netloom.llm.token_counts import MARK, NO_PREFIX, model_bytes, pre_tokens
 
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6  # piece types
@@ -200,6 +200,7 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", threads
 
     Rows are encoded one by one whatever they repeat; texts of any length are encoded whole.
     """
+    modest(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("ids", decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

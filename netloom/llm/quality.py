@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, pack, slices, stored, table, unpack
+from netloom.llm.common import binary, modest, pack, slices, stored, table, unpack
 
 WIDTH, GAMMA, RIDGE, SEED, BINS = 192, 0.05, 1e-2, 7, 2048
 CLASSES = np.zeros(256, np.uint8)  # 0 control, 1 white space, 2 lower, 3 upper, 4 digit, 5 sentence mark, 6 other mark, 7 lead byte, 8 continuation
@@ -60,6 +60,7 @@ def statistics(text: bytes) -> list[float]:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats blob) per row; null is empty."""
+    modest(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

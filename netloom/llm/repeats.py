@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, pack, partitions, runs, trim, unpack
+from netloom.llm.common import binary, blocks, modest, pack, partitions, runs, trim, unpack
 
 NO_ID = np.iinfo(np.int64).max
 #: Cells of each of the sketch's two rows, one bit each when merged: 2 x 64 MB at most. A fuller sketch lets more unrepeated windows pass; it never loses one.
@@ -48,6 +48,7 @@ class Sketch:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    modest(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import batch, binary, partitions, slices, stored, table
+from netloom.llm.common import batch, binary, modest, partitions, slices, stored, table
 from netloom.llm.components import components
 
 TILE, SUB = 1 << 16, 1 << 10
@@ -69,6 +69,7 @@ def text_hash(text_col: str) -> F.Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
     """(id, th: xxhash64 of the text, fp long: the fingerprint's bits, signed). Null and empty texts, and texts without words: 0."""
+    modest(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash(text_col).alias("th"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 

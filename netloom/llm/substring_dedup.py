@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import binary, pack, partitions, slices, table, unpack
 from netloom.llm.repeats import count_min, identified, mixed, removed_spans, with_spans
 
-SHINGLE, BLOCK = 5, 8 << 20
+SHINGLE, BLOCK = 5, 4 << 20
 
 
 class _Digests(dict):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, pack, partitions, table, unpack
+from netloom.llm.common import binary, blocks, modest, pack, partitions, table, unpack
 
 MARK = "▁".encode()
 PRE_TOKEN = re.compile(rb" *[^ \n]+|\n| +")
@@ -68,6 +68,7 @@ def token_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     added tokens. model: the bytes of a .model file. Null is empty; empty has no tokens. Repeated rows and null ids are
     counted row by row; other columns are ignored.
     """
+    modest(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind, n = rows.schema["id"].dataType.simpleString(), partitions(docs.sparkSession)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import mixing
-from netloom.llm.common import binary, blocks, pack, partitions, shared_dir, slices, table, trim, unpack
+from netloom.llm.common import binary, blocks, modest, pack, partitions, shared_dir, slices, table, trim, unpack
 from netloom.llm.token_counts import model_bytes
 
 SEGMENT = 4 << 20  # bytes of text in a segment
@@ -99,6 +99,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: bytes, path: str, end: in
     """Write the ids of every text, `end` appended to each, in ascending order of id (a long); equal ids in the order
     of their texts, null ids first. Null texts are empty. No rows: a dataset without segments. Ids must lie below 2^16.
     """
+    modest(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
 
