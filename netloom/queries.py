@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from netloom.functions import dissect as D
 from netloom.functions import names as N
 from netloom.functions import scalars as S
+from netloom.functions.fields import candidates_of
+from netloom.functions.kaitai import kaitai_decode
 from netloom.operators import aggregates as A
 from netloom.operators import flow_model as W
 from netloom.operators import histograms as H
 from netloom.operators import inventory as R
 from netloom.plans.filters import packet_filter, table_search
-from netloom.sources.events import PACKETS_SQL, documents_as_payload, packets
+from netloom.sources.bbframe import find_ipv4, gse_packets, parse_lines, validation_report
+from netloom.sources.events import PACKETS_SQL, documents_as_payload, packets, packets_of
+from netloom.streaming.live import live_conversations, live_filter, live_protocols, run_bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -336,3 +341,81 @@ query("fn_ip_checksum", "SELECT packet_no, (65535 - s) AS v FROM (SELECT packet_
 
 query("set_intersect", "SELECT ip4_src AS ip FROM packets WHERE ip_proto = 6 AND ip4_src IS NOT NULL INTERSECT SELECT ip4_src FROM packets WHERE ip_proto = 17")(lambda p: p.where("ip_proto = 6 AND ip4_src IS NOT NULL").select(F.col("ip4_src").alias("ip")).intersect(p.where("ip_proto = 17").select("ip4_src")))
 query("set_except", "SELECT ip4_src AS ip FROM packets WHERE ip_proto = 6 AND ip4_src IS NOT NULL EXCEPT SELECT ip4_src FROM packets WHERE ip_proto = 1")(lambda p: p.where("ip_proto = 6 AND ip4_src IS NOT NULL").select(F.col("ip4_src").alias("ip")).subtract(p.where("ip_proto = 1").select("ip4_src")))
+
+# ---- what SQL can't say: rows only ----------------------------------------------------------------------------------
+
+SPEC = "meta:\n  id: text_head\nseq:\n  - id: first\n    type: u1\n  - id: word\n    type: u2le\n  - id: flag\n    type: b1\n  - id: rest\n    type: b7\n  - id: tail\n    type: str\n    size: 4\n    encoding: ASCII\n"
+
+
+@query("kaitai_decode", source=documents_as_payload)
+def _(p):
+    return kaitai_decode(p, SPEC)
+
+
+@query("fn_candidates", source=documents_as_payload)
+def _(p):
+    return candidates_of(p, 16, 32)
+
+
+def baseband_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a baseband frame of two GSE packets around each document's first bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(F.col("text").cast("binary"), 1, 60).alias("b"))
+    gse = F.concat(F.hex(F.length("b") + 2 + 0xC000), F.hex("b"))
+    body = F.concat(gse, gse)
+    frame = F.concat(F.lit("72000000"), F.lpad(F.hex(F.length(body) * 4), 4, "0"), F.lit("47000000"), body)
+    return docs.select("doc_id", F.concat(F.lit('{"timestamp":'), F.col("doc_id").cast("string"), F.lit('.25,"bbframe":"'), F.regexp_replace(F.base64(F.unhex(frame)), "[\r\n]", ""), F.when(F.col("doc_id") % 50 == 0, '"}').otherwise('","metadata":{"ma_hdr":1}}')).alias("value"))
+
+
+@query("gse_walk", ", d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE doc_id % 50 <> 0) SELECT doc_id || '.25' AS timestamp, i AS \"index\", i * (least(n, 60) + 2) AS start, least(n, 60) + 2 AS size FROM d, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(i)", baseband_lines)
+def _(p):
+    return gse_packets(parse_lines(p)).select("timestamp", "index", "start", "size")
+
+
+@query("bbframe_report", "SELECT count(*) AS lines, count(*) FILTER (doc_id % 50 <> 0) AS modelled, count(*) FILTER (doc_id % 50 = 0) AS rejected_shape, CAST(0 AS BIGINT) AS rejected_timestamp, CAST(0 AS BIGINT) AS rejected_base64 FROM documents", baseband_lines)
+def _(p):
+    return validation_report(parse_lines(p)).drop("frame_bytes")
+
+
+@query("find_ipv4", "SELECT packet_no, CASE WHEN ip4_src IS NOT NULL THEN CAST(5 AS BIGINT) END AS v FROM packets WHERE vlan IS NULL AND v6_src IS NULL", framed)
+def _(p):
+    shifted = p.where("conv(hex(substring(frame, 13, 2)), 16, 10) IN (2048, 2054)")
+    return shifted.select("packet_no", find_ipv4(F.substring("frame", 10, 2000)).alias("v"))
+
+
+@query("json_lines", "SELECT packet_no, '{\"ts_nanos\":' || ts_nanos || ',\"len\":' || origlen || ',\"vlan\":' || coalesce(CAST(vlan AS VARCHAR), 'null') || '}' AS value FROM packets")
+def _(p):
+    return p.select("packet_no", F.to_json(F.struct("ts_nanos", F.col("origlen").alias("len"), "vlan"), {"ignoreNullFields": "false"}).alias("value"))
+
+# ---- the whole way, and live ----------------------------------------------------------------------------------------
+
+FLAGSHIP = "ip == 10.0.0.0/8 && !(port == 5900-5910)"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames built from events, dissected again, filtered and summed up by conversation."""
+    rows = packets(spark, sf_dir).withColumn("ethertype", F.when(F.col("ethertype") == 0, 2048).otherwise(F.col("ethertype")))
+    made = D.ethernet_frame(rows, F.lit("hello").cast("binary")).select("packet_no", "ts_nanos", "origlen", "linktype", "frame")
+    return _plain(A.conversations(D.dissect(made).where(packet_filter(FLAGSHIP))))
+
+
+QUERIES["flagship"] = flagship
+SQL["flagship"] = "WITH " + PACKETS_SQL + CONV_SQL.replace("WHERE TRUE", "WHERE (ip4_src BETWEEN 167772160 AND 184549375 OR ip4_dst BETWEEN 167772160 AND 184549375) AND NOT coalesce(sport BETWEEN 5900 AND 5910, false) AND NOT coalesce(dport BETWEEN 5900 AND 5910, false)")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, mode: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A streaming query over the events table as it grows, drained into a memory table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(events).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"live_{uuid.uuid4().hex}"
+    run_bounded(make(packets_of(raw)), name, mode)
+    return spark.table(name)
+
+
+def _live(name: str, mode: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _plain(_streamed(spark, sf_dir, mode, make))
+    SQL[name] = f"WITH {PACKETS_SQL}{'' if sql.startswith(',') else ' '}{sql}"
+
+
+_live("stream_live_filter", "append", lambda p: live_filter(p, "proto == tcp && port == 443").select("packet_no", "origlen"), "SELECT packet_no, origlen FROM packets WHERE ip_proto = 6 AND (sport = 443 OR dport = 443)")
+_live("stream_live_conversations", "complete", live_conversations, f", c AS (SELECT *, {_KEY.format('src')} AS s, {_KEY.format('dst')} AS d FROM packets) SELECT least(s, d) AS a, greatest(s, d) AS b, count(*) AS packets, CAST(sum(origlen) AS BIGINT) AS bytes, min(ts_nanos) AS first_ts, max(ts_nanos) AS last_ts FROM c WHERE s IS NOT NULL GROUP BY 1, 2")
+_live("stream_live_protocols", "complete", lambda p: live_protocols(p).select("proto", "packets", "bytes"), PROTO_SQL + " SELECT proto, count(*) AS packets, CAST(sum(origlen) AS BIGINT) AS bytes FROM named GROUP BY proto_kind, proto_number, proto")

@@ -41,13 +41,18 @@ def v6_address(n) -> F.Column:
     return F.when(n.isNotNull(), F.unhex(F.concat(F.lit("20010DB80000"), part, F.lit("000000000000"), part)))
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    rows = events.selectExpr(*(f"CAST({x} AS {'INT' if n in INTS else 'BIGINT'}) AS {n}" for n, x in COLUMNS.items()))
+def packets_of(events: DataFrame) -> DataFrame:
+    """events, batch or streaming, as packets."""
+    own = events.select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = own.selectExpr(*(f"CAST({x} AS {'INT' if n in INTS else 'BIGINT'}) AS {n}" for n, x in COLUMNS.items()))
     more = {"has_eth": F.lit(True), "ip6_src": v6_address(F.col("v6_src")), "ip6_dst": v6_address(F.col("v6_dst")), "caplen": F.col("origlen"), "linktype": F.lit(1)}
     return rows.withColumns(more)
 
 
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def documents_as_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as frames, for payload searches."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
