@@ -205,6 +205,8 @@ def _decode(blobs: list[bytes]) -> list[np.ndarray]:
 
     def take(begin: np.ndarray, size: np.ndarray, unit: np.ndarray, some: np.ndarray | None = None) -> None:
         nonlocal code, width
+        if not size.all():
+            raise ValueError("a block is damaged")
         c = (code if some is None else code[some]) - unit * begin.astype(np.uint64)
         w = unit * size.astype(np.uint64)
         while True:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from netloom.llm.common import binary, modest, pack, slices, stored, table, unpack
 
-WIDTH, GAMMA, RIDGE, SEED, BINS = 192, 0.05, 1e-2, 7, 2048
+WIDTH, SEED, BINS = 192, 7, 2048
+GAMMA, RIDGE = 0.02, 1.0  # chosen on the training rows whose remainder is 1, fitted on the rest of them
 CLASSES = np.zeros(256, np.uint8)  # 0 control, 1 white space, 2 lower, 3 upper, 4 digit, 5 sentence mark, 6 other mark, 7 lead byte, 8 continuation
 CLASSES[[32, 9, 10, 11, 12, 13]] = 1
 CLASSES[97:123] = 2
