@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, pieces, quality, simhash, suffix_dedup
+from netloom.llm import decontaminate, near_copies, pieces, quality, suffix_dedup
 from netloom.llm.common import shared_dir, table
 from netloom.llm.token_counts import model_bytes
 
@@ -18,8 +18,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.one_per_group(docs)
+    """The document with the smallest id of each group linked by a five-word Jaccard similarity of 0.8 or more."""
+    return near_copies.one_per_group(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
