@@ -46,10 +46,26 @@ def iso(nanos: Column) -> Column:
     return F.date_format(_moment(nanos), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many decimals, the exact binary value rounded half even as Python and Rust do; format_string
+    rounds the shortest decimal half up."""
+    scale, a = 10**digits, F.abs(x)
+    high = a * 134217729.0 - (a * 134217729.0 - a)  # Veltkamp: the product with a small integer is exact in two parts
+    twice = a * (2.0 * scale)
+    rest = (high * (2.0 * scale) - twice) + (a - high) * (2.0 * scale)
+    k = F.floor(a * float(scale))
+    over = (twice - (k * 2 + 1).cast("double")) + rest
+    whole = k + F.when((over > 0) | (over == 0) & (k % 2 == 1), 1).otherwise(0)
+    text = F.floor(whole / scale).cast("string")
+    if digits:
+        text = F.concat(text, F.lit("."), F.lpad((whole % scale).cast("string"), digits, "0"))
+    return F.when(a < 1e12, F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), text)).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def _scaled(n: Column, units: list[str], base: str, digits: list[int]) -> Column:
     out = F.concat(n.cast("string"), F.lit(base))
     for k, (unit, d) in enumerate(zip(units, digits, strict=True), 1):
-        out = F.when(n >= 1000**k, F.format_string(f"%.{d}f{unit}", n.cast("double") / float(1000**k))).otherwise(out)
+        out = F.when(n >= 1000**k, F.concat(fixed(n.cast("double") / float(1000**k), d), F.lit(unit))).otherwise(out)
     return out
 
 
@@ -71,10 +87,11 @@ def human(n: Column, unit: str = "") -> Column:
 
 
 def fmt_duration(s: Column) -> Column:
-    steps = [(1, 0.001, "%.0f ms"), (120, 1, "%.1f s"), (7200, 60, "%.1f min"), (172800, 3600, "%.1f h")]
-    out = F.format_string("%.1f d", s.cast("double") / 86400)
-    for limit, unit, text in reversed(steps):
-        out = F.when(s < limit, F.format_string(text, s.cast("double") / unit)).otherwise(out)
+    x = s.cast("double")
+    steps = [(1, x * 1000.0, 0, " ms"), (120, x, 1, " s"), (7200, x / 60.0, 1, " min"), (172800, x / 3600.0, 1, " h")]
+    out = F.concat(fixed(x / 86400.0, 1), F.lit(" d"))
+    for limit, value, digits, unit in reversed(steps):
+        out = F.when(s < limit, F.concat(fixed(value, digits), F.lit(unit))).otherwise(out)
     return out
 
 
