@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample; clusters that hold too much of the sam
 A graph over the centroids, held in memory, is searched best-first for the centroids near a vector. Each vector is
 posted to the near centroids whose distance is within REPLICATE times the nearest one's, REPLICAS at most (boundary
 vectors so live in several lists). A query reads the lists whose
-centroid lies within PROBE times its nearest centroid's distance. Lists are read in chunks of at most CHUNK vectors,
+centroid lies within PROBE times its nearest centroid's distance, and goes on to farther ones until the lists are sure to
+hold k other vectors; so it gets k answers wherever there are k candidates. Lists are read in chunks of at most CHUNK vectors,
 each by a task of its own, and every chunk of a chosen list is read: no list is cut short.
 
 Equal vectors are posted once, with the k + 1 smallest of their ids, which is all that any answer can use.
@@ -29,8 +30,14 @@ REPLICATE, PROBE = 1.04, 1.17  # distance ratios
 CHUNK = 1 << 14
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """In double precision, by a power of two that keeps squares in range; angles stay exactly as they are."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -145,23 +152,36 @@ class CentroidGraph:
         for row, some in zip(ids, near, strict=True):
             yield row[: len(some)][some].tolist()
 
-    def probes(self, x: np.ndarray) -> Iterator[list[int]]:
-        """The centroids whose lists a query reads."""
-        for row, d in zip(*self.search(x, PROBE, len(self.centers)), strict=True):
-            yield row[(row >= 0) & (d <= d[0] * PROBE)].tolist()
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> Iterator[list[int]]:
+        """The centroids whose lists a query reads: those within PROBE, and more until they hold `least` vectors."""
+        ids, dist = self.search(x, PROBE, len(self.centers))
+        own = np.where(ids >= 0, sizes[ids], 0)
+        held = np.cumsum(own, axis=1)
+        chosen = (ids >= 0) & ((dist <= dist[:, :1] * PROBE) | (held - own < least)) & (own > 0)
+        few = np.flatnonzero(held[:, -1] < least)
+        rest = {}
+        if len(few):  # the search met too few lists: all centroids, nearest first
+            order = np.argsort(self.square - 2 * x[few] @ self.centers.T, axis=1, kind="stable")
+            own = sizes[order]
+            wanted = (np.cumsum(own, axis=1) - own < least) & (own > 0)
+            rest = {int(k): row[some].tolist() for k, row, some in zip(few, order, wanted, strict=True)}
+        for k, (row, some) in enumerate(zip(ids, chosen, strict=True)):
+            yield sorted({*row[some].tolist(), *rest.get(k, ())})
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
 
+def _posted(rows: DataFrame, graph, dim: int, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """Each row once for every list that its vector is posted to or, given the lists' sizes, that a query reads."""
 
-def _posted(rows: DataFrame, graph, dim: int, probe: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
                 x = _unit(_vectors(b.column("vector"), dim))
-                own = list(graph.value.probes(x) if probe else graph.value.lists(x))
+                own = list(graph.value.lists(x) if sizes is None else graph.value.probes(x, sizes, least))
                 row = np.repeat(np.arange(b.num_rows), [len(o) for o in own])
                 t = pa.Table.from_batches([b]).take(pa.array(row)).append_column("list", pa.array([c for o in own for c in o], pa.int32()))
                 yield from t.combine_chunks().to_batches()
@@ -174,13 +194,15 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "ve
     precision on the original vectors, the query's own id left out; ties go to the smaller id.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
-    do rows without an id. Repeated rows count once. Fewer than k others: all of them. Other columns are ignored.
+    do rows without an id. Repeated rows count once. Fewer than k others: all of them. An empty table, or no queries:
+    no rows. Other columns are ignored. Components stay float or double as they come.
     """
     spark = vectors.sparkSession
     n = partitions(spark)
     vector = F.col(f"`{vector_col}`")
+    kind = "array<float>" if vectors.select(vector).dtypes[0][1] == "array<float>" else "array<double>"
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.cast("array<float>").alias("vector"), queries.alias("asks")).where(F.col("id").isNotNull() & vector.isNotNull() & fine)
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.cast(kind).alias("vector"), queries.alias("asks")).where(F.col("id").isNotNull() & vector.isNotNull() & fine)
     sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -194,20 +216,21 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 5, id_col: str = "ve
     x = _unit(np.stack(sample["vector"].to_numpy()))
     lists = max(1, min(MOST_LISTS, total // LIST, len(x) // 8))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(x, lists)))
-    posted = stored(_posted(items, graph, dim, probe=False), "postings")
+    posted = stored(_posted(items, graph, dim), "postings")
     sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per centroid
+    own_sizes = np.array([sizes.get(c, 0) for c in range(len(graph.value.centers))], np.int64)
     chunks = F.array(*(F.lit(-(-sizes.get(c, 0) // CHUNK)) for c in range(len(graph.value.centers))))
     asked = rows.where("asks")
     distinct = asked.groupBy(F.xxhash64("vector").alias("key"), "vector").agg(F.min("id").alias("q")).select("q", "vector")
-    probed = _posted(distinct.repartition(n, "q"), graph, dim, probe=True)
+    probed = _posted(distinct.repartition(n, "q"), graph, dim, own_sizes, REPLICAS * (k + 1))  # a vector is in REPLICAS lists at most, so k + 1 differ
     left = probed.withColumn("chunk", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.get(chunks, F.col("list"))))))
     right = posted.withColumn("chunk", F.pmod(F.xxhash64("vector"), F.greatest(F.lit(1), F.get(chunks, F.col("list")))).cast("int") + 1)
 
     def compare(_key, asks: pa.Table, own: pa.Table) -> pa.Table:
         q, score, ids = [], [], []
         if asks.num_rows and own.num_rows:
-            a = _vectors(asks.column("vector").combine_chunks(), dim).astype(np.float64)
-            b = _vectors(own.column("vector").combine_chunks(), dim).astype(np.float64)
+            a = _scaled(_vectors(asks.column("vector").combine_chunks(), dim))
+            b = _scaled(_vectors(own.column("vector").combine_chunks(), dim))
             na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
             names, who = own.column("ids").to_pylist(), asks.column("q").to_pylist()
             low = np.array([x[0] for x in names])
