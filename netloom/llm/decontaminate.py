@@ -47,36 +47,59 @@ def _keys(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, key
 
 
+def _key(rows: np.ndarray, start: int, size: int) -> np.ndarray:
+    """The keys of `size` words from column `start` on, as _keys() gives them."""
+    key = np.full(len(rows), size, np.uint64)
+    for k in range(size):
+        key = (key ^ (rows[:, start + k].astype(np.uint64) + np.uint64(1))) * np.uint64(MIX[k % 3])
+        key ^= key >> np.uint64(29)
+    return key
+
+
 class Windows:
     """The distinct windows of a slice of items, with the shingles that they are joined on."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
-        self.window, vocab, own = window, {}, {}
-        for item, text in items:
-            ids = tuple(vocab.setdefault(w, len(vocab)) for w in words_of(text))
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                own.setdefault(ids[at : at + window], set()).add(item)
-        self.vocab, self.items = vocab, [sorted(x) for x in own.values()]
-        self.ids = np.full((len(own), window), -2, np.int32)
-        self.length = np.zeros(len(own), np.int64)
-        for k, ids in enumerate(own):
-            self.ids[k, : len(ids)] = ids
-            self.length[k] = len(ids)
+        self.window, vocab = window, {}
+        self.names = sorted({item for item, _ in items})
+        code = {item: k for k, item in enumerate(self.names)}
+        words = [words_of(text) for _, text in items]
+        flat = np.fromiter((vocab.setdefault(w, len(vocab)) for w in chain.from_iterable(words)), np.int32, sum(map(len, words)))
+        size = np.array([len(w) for w in words], np.int64)
+        del words
+        many = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        of = np.repeat(np.arange(len(items)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(size) - size, many)
+        length = np.minimum(size, window)[of]
+        rows = flat[np.minimum(at[:, None] + np.arange(window), max(0, len(flat) - 1))] if len(flat) else np.zeros((0, window), np.int32)
+        rows[np.arange(window) >= length[:, None]] = -2
+        rows = np.ascontiguousarray(rows)
+        _, first, which = np.unique(rows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        owner = np.array([code[item] for item, _ in items], np.int64)[of]
+        pair = np.unique(np.stack([which.ravel(), owner]), axis=1)
+        self.vocab, self.ids, self.length = vocab, rows[first], length[first]
+        self.item_at, self.item_of = np.searchsorted(pair[0], np.arange(len(first) + 1)), pair[1]
         self.size = np.minimum(self.length, shingle)
         self.shingles = {}  # size -> key, window, offset
-        for size in sorted(set(self.size.tolist())):
-            of, parts = np.flatnonzero(self.size == size), []
-            for k in of:
-                at, key = _keys(self.ids[k, : self.length[k]], size)
-                parts.append((key, np.full(len(at), k), at))
-            self.shingles[size] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        self.known = {size: np.unique(x[0]) for size, x in self.shingles.items()}
+        for n in np.unique(self.size).tolist():
+            parts = []
+            for have in np.unique(self.length[self.size == n]).tolist():
+                own = np.flatnonzero(self.length == have)
+                for start in range(have - n + 1):
+                    parts.append((_key(self.ids[own], start, n), own, np.full(len(own), start)))
+            self.shingles[n] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        self.known = {n: np.unique(x[0]) for n, x in self.shingles.items()}
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in self.item_of[self.item_at[window] : self.item_at[window + 1]].tolist()]
 
     def choose(self, counts: dict[tuple[int, int], int]) -> None:
         """Keep each window's rarest shingle."""
         self.prefix = {}
         for size, (key, win, at) in self.shingles.items():
-            n = np.array([counts.get((size, k), 0) for k in key.view(np.int64).tolist()])
+            known = self.known[size]
+            total = np.array([counts.get((size, k), 0) for k in known.view(np.int64).tolist()], np.int64)
+            n = total[np.searchsorted(known, key)]
             order = np.lexsort((at, n, win))
             first = order[np.unique(win[order], return_index=True)[1]]
             first = first[np.argsort(key[first], kind="stable")]
@@ -127,8 +150,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     words, and items array of the ids of the items that have an occurring window, sorted as strings.
 
     Null and empty texts have no words. Items with a null id or text take no part; items that share an id count as
-    one. Rows of docs may repeat; each is judged alone. Columns of docs named like a result give way to it. No items:
-    nothing is hit. Whole texts of any length are matched, in blocks of documents.
+    one. Rows of docs may repeat; each is judged alone; an empty table gives an empty table. Columns of docs named like
+    a result give way to it. No items: nothing is hit. Whole texts of any length are matched, in blocks of documents.
     """
     spark = docs.sparkSession
     modest(spark)
@@ -171,7 +194,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
                 hit = np.cumsum(edge[:-1]) > 0
                 found: dict[int, set[str]] = {}
                 for k, w in np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, win]), axis=1).T.tolist() if len(at) else ():
-                    found.setdefault(k, set()).update(own.items[w])
+                    found.setdefault(k, set()).update(own.items(w))
                 masks, lists = [], rows.column("items").to_pylist()
                 for k, old in enumerate(rows.column("__hit").to_pylist()):
                     own_hit = hit[starts[k] : starts[k + 1]]
