@@ -2,9 +2,9 @@
 
 The model's protobuf is parsed here and rebuilt as a tokenizers Tokenizer: normaliser, space marker, pieces with their
 scores (unigram) or the merges that the scores rank (BPE), and byte fallback. Distinct pre-tokens of a block of
-documents are encoded in multithreaded batches and laid out per document. Parity is verified while encoding: each
-distinct pre-token also goes through the sentencepiece library, and a document with one that differs is encoded by
-that library instead.
+documents are encoded in multithreaded batches and laid out per document; models whose pieces cross pre-tokens encode
+whole texts. Parity is verified while encoding: each distinct pre-token (or text) also goes through the sentencepiece
+library; a document with one that differs is marked, and encoded by that library instead.
 """
 
 from __future__ import annotations
@@ -134,7 +134,6 @@ class Encoder:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=data + NO_PREFIX)
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace("▁", " ").encode() for p, _, kind in self.model.pieces]
-        self.differ = 0  # pre-tokens or texts that the library encodes in another way
         self.forget()
 
     def forget(self) -> None:
@@ -150,30 +149,35 @@ class Encoder:
             bads.append(np.fromiter((x != y for x, y in zip(mine, self.bare.encode(some), strict=True)), bool, len(some)))
             sizes.append(np.fromiter(map(len, mine), np.int64, len(mine)))
             flats.append(np.fromiter(chain.from_iterable(mine), np.int32, int(sizes[-1].sum())))
-            self.differ += int(bads[-1].sum())
         self.size, self.flat, self.bad = np.concatenate(sizes), np.concatenate(flats), np.concatenate(bads)
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
+        """(ids of each text, whether the library's differ from the tokenizer's)."""
         if not self.by_words:
             strings = [t.decode() for t in texts]
-            mine, theirs = [x.ids for x in self.whole.encode_batch_fast(strings, add_special_tokens=False)], self.library.encode(strings)
-            self.differ += sum(a != b for a, b in zip(mine, theirs, strict=True))
-            return [np.array(x, np.int32) for x in theirs]
+            mine = chain.from_iterable(self.whole.encode_batch_fast(strings[a : a + 256], add_special_tokens=False) for a in range(0, len(strings), 256))
+            out, differ = [], []
+            for text, own in zip(strings, mine, strict=True):
+                ids, checked = own.ids, self.library.encode(text)
+                differ.append(ids != checked)
+                out.append(np.array(checked if differ[-1] else ids, np.int32))
+            return out, differ
         if len(self.known) > WORDS:
             self.forget()
         known, before = self.known, len(self.known)
         docs = [[known.setdefault(w, len(known)) for w in pre_tokens(t)] for t in texts]
         self._learn(list(islice(known, before, None)))
         begin = np.cumsum(self.size) - self.size
-        out, any_bad = [], self.bad.any()
+        out, differ, any_bad = [], [], self.bad.any()
         for text, doc in zip(texts, docs, strict=True):
             w = np.array(doc, np.int64)
-            if any_bad and self.bad[w].any():
+            differ.append(bool(any_bad and self.bad[w].any()))
+            if differ[-1]:
                 out.append(np.array(self.library.encode(text.decode()), np.int32))
             else:
                 n = self.size[w]
                 out.append(self.flat[np.repeat(begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        return out
+        return out, differ
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """By the pieces' bytes; ids that don't make whole UTF-8 characters go through the tokenizer's own decoder."""
@@ -195,28 +199,30 @@ def encoder(data: bytes, threads: int) -> Encoder:
 
 
 def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", threads: int = THREADS, decoded: str | None = None) -> DataFrame:
-    """All columns of docs, with ids (array of int) and, if a name is given, the text decoded from them. Null and empty
-    texts have no ids and decode to an empty text. Columns of docs named like a result give way to it.
+    """All columns of docs, with ids (array of int), differ (whether the two libraries' ids differ; ids are then those of
+    sentencepiece) and, if a name is given, the text decoded from them. Null and empty texts have no ids and decode to
+    an empty text. Columns of docs named like a result give way to it.
 
-    Rows are encoded one by one whatever they repeat; texts of any length are encoded whole.
+    Rows are encoded one by one whatever they repeat; texts of any length are encoded whole; an empty table gives an
+    empty table.
     """
     modest(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("ids", decoded)]
+    keep = [c for c in docs.columns if c not in ("ids", "differ", decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(model, threads)
         for _, own in blocks(batches, BLOCK, text_col):
-            ids = own_encoder.encode(list(chain.from_iterable(binary(c) for c in own.column(text_col).chunks)))
+            ids, differ = own_encoder.encode(list(chain.from_iterable(binary(c) for c in own.column(text_col).chunks)))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
             more = [pa.array(own_encoder.decode(ids), pa.string())] if decoded else []
-            t = pa.table([*(own.column(c) for c in keep), lists, *more], names=[*keep, "ids", *([decoded] if decoded else [])])
+            t = pa.table([*(own.column(c) for c in keep), lists, pa.array(differ, pa.bool_()), *more], names=[*keep, "ids", "differ", *([decoded] if decoded else [])])
             yield from t.combine_chunks().to_batches(max_chunksize=1024)
         own_encoder.forget()
         trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, f"{kinds}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, f"{kinds}, ids array<int>, differ boolean" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -235,9 +241,9 @@ def decode_pieces(rows: DataFrame, model: bytes, ids_col: str = "ids", out: str
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the ids as text digest, and whether decoding gives the text (with the marker as a space)."""
-    model = model_bytes("piece_bpe_32k.model")
+    """doc_id, n_tokens, ids, the text decoded from them, whether it is the text (with the marker as a space), and
+    whether the two libraries differ."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = encode_pieces(docs, model, decoded="decoded")
+    back = encode_pieces(docs, model_bytes("piece_bpe_32k.model"), decoded="decoded")
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", same.alias("round_trip"), "differ")
