@@ -24,19 +24,48 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         where = getattr(spark, "_netloom_dir", None) or tempfile.mkdtemp(prefix="netloom")
         spark._netloom_dir = where
     return where
 
 
+_written: list[str] = []
+
+
+def mark() -> int:
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete what stored() has written since mark(); for a caller that has its results written elsewhere."""
+    while len(_written) > since:
+        remove(spark, _written.pop())
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back, so lost executors cost no recomputation."""
+    """Cut lineage: write df as Parquet in the shared folder and read it back, so lost executors cost no recomputation.
+    It stays until release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df itself if its tasks see their rows in the same order whenever they run again; stored, if an exchange may deal
+    them otherwise."""
+    return stored(df, label) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what stored() or a stage has written, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def modest(spark: SparkSession) -> None:
     """Arrow batches of at most 4 MB between the JVM and Python, where texts are long; smaller settings stay."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -29,7 +29,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """
     now, mark = stored(edges.where("u <> v").distinct(), label), None
     while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
+        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(38,0)")).alias("s")).first()  # of a set: 128 bits of hash
         if tuple(seen) == mark or not seen.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(seen)

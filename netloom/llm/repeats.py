@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, modest, pack, partitions, runs, trim, unpack
+from netloom.llm.common import binary, blocks, modest, pack, partitions, runs, settled, trim, unpack
 
 NO_ID = np.iinfo(np.int64).max
 #: Cells of each of the sketch's two rows, one bit each when merged: 2 x 64 MB at most. A fuller sketch lets more unrepeated windows pass; it never loses one.
@@ -50,32 +50,36 @@ class Sketch:
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     modest(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return settled(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")), "texts")
 
 
 def _ids(own: pa.Table) -> np.ndarray:
     return own.column("id").fill_null(int(NO_ID)).to_numpy()
 
 
-def count_min(rows: DataFrame, keys: Callable[[list[bytes]], np.ndarray], per_byte: float, limit: int) -> Sketch:
-    """Merge the sketches of all tasks. keys: of the texts of a block, each as often as it counts (at most twice each).
-    per_byte: expected keys per byte, for the width alone.
+def count_min(rows: DataFrame, keys: Callable, per_byte: float, limit: int, column: str = "text", fill: float = 4, only: Callable[[pa.Table], np.ndarray] | None = None, more: tuple[str, ...] = ()) -> Sketch:
+    """Merge the sketches of all tasks. keys: of the texts of a block (of the numbers, if the column holds them), each
+    as often as it counts (at most twice each). per_byte: expected keys per byte, and fill: cells per key, for the width
+    alone. only: which rows of a block count, by column and the columns `more`.
 
     Tasks send their cells in sorted runs, dealt by cell; saturated sums are made where they meet, and only the bits
     of cells counted twice or more, of the width's bounded size, come to the driver.
     """
     spark = rows.sparkSession
     n = partitions(spark)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = rows.select(column, *more)
+    numbers = held.dtypes[0][1] == "bigint"
+    size = held.agg(F.sum(F.lit(8) if numbers else F.octet_length(column))).first()[0] or 0
     width = MIN_WIDTH
-    while width < MAX_WIDTH and width < 4 * per_byte * size:
+    while width < MAX_WIDTH and width < fill * per_byte * size:
         width *= 2
     slices = min(n, 256)
     span = -(-width // slices // 8) * 8
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in blocks(batches, limit):
-            found = keys(list(chain.from_iterable(binary(c) for c in own.column("text").chunks)))
+        for _, own in blocks(batches, limit, column):
+            own = own.filter(pa.array(only(own))).combine_chunks() if only else own
+            found = keys(own.column(column).to_numpy().view(np.uint64) if numbers else list(chain.from_iterable(binary(c) for c in own.column(column).chunks)))
             for row, cell in enumerate(cells(found, width)):
                 cell = np.sort(cell.astype(np.int64))
                 cut = np.searchsorted(cell, np.arange(slices + 1) * span)
@@ -96,7 +100,7 @@ def count_min(rows: DataFrame, keys: Callable[[list[bytes]], np.ndarray], per_by
         for part, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= 2, bitorder="little").tobytes()], pa.binary())], names=["part", "blob"])
 
-    merged = rows.select("text").mapInArrow(send, "part int, blob binary").repartition(n, "part").mapInArrow(merge, "part int, blob binary")
+    merged = held.mapInArrow(send, "part int, blob binary").repartition(n, "part").mapInArrow(merge, "part int, blob binary")
     bits = [np.zeros(slices * span // 8, np.uint8) for _ in range(DEPTH)]
     for r in merged.toLocalIterator(prefetchPartitions=True):
         p, row = divmod(r.part, DEPTH)

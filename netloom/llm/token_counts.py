@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import binary, blocks, modest, pack, partitions, table, unpack
+from netloom.llm.common import binary, blocks, modest, pack, partitions, settled, table, unpack
 
 MARK = "▁".encode()
 PRE_TOKEN = re.compile(rb" *[^ \n]+|\n| +")
@@ -66,10 +66,10 @@ def _ipc(rows: pa.RecordBatch) -> bytes:
 def token_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id, n_bytes, n_tokens), as the sentencepiece library counts the whole text, without
     added tokens. model: the bytes of a .model file. Null is empty; empty has no tokens. Repeated rows and null ids are
-    counted row by row; other columns are ignored.
+    counted row by row; an empty table gives an empty table; other columns are ignored.
     """
     modest(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = settled(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "texts")
     kind, n = rows.schema["id"].dataType.simpleString(), partitions(docs.sparkSession)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
