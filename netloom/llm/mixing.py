@@ -2,9 +2,10 @@
 
 Ids are coded in blocks that start from nothing and carry a checksum. In each block three predictions are kept: the id
 that last followed the two ids before (order 2), the one that last followed the id before (order 1), and the
-frequencies of the block's ids so far (order 0, renewed at the steps of EPOCHS). Adaptive event frequencies, mixed from
-a context of the predictions' confidence and a context of the last events, say which of them is right: order 2,
-order 1, order 0, or a new id, sent plain. Event and order-0 id go through one arithmetic-coding step.
+frequencies of the block's ids so far (order 0, the last ones counted more, renewed as their number grows). Two adaptive
+models, one that sees the predictions' confidence and one that sees the last events, say which of them is right: order
+2, order 1, order 0, or a new id, sent by a fixed prior. Their distributions are mixed by a weight that each block learns: it follows
+the share of the two models in the probability of what came. Event and order-0 id go through one arithmetic-coding step.
 
 All blocks of a batch are coded side by side: one numpy step codes one id of every block. Only integers are used, so
 every machine decodes the same.
@@ -17,73 +18,134 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048  # ids in a block
-LANES = 1024  # blocks coded side by side
-EPOCHS = (64, 256, 1024)
-ID_BITS, SLOT_BITS, TOTAL_BITS = 16, 14, 20
-SLOTS2, SLOTS1, RATE = 1 << 12, 1 << 11, 5
-HEAD = struct.Struct("<III")  # ids, 16-bit words, crc32 of the ids as little-endian unsigned 32-bit integers
-MASK32 = np.uint64((1 << 32) - 1)
+BLOCK = 8192  # ids in a block at most
+LEAST_BLOCK, SIDE_BY_SIDE = 2048, 16  # blocks are shorter, down to LEAST_BLOCK, where a segment has fewer than SIDE_BY_SIDE
+LANES = 1024  # blocks coded side by side at most
+FIRST, STRIDE = 64, 512
+RECENT, RECENT_TIMES = 512, 8  # of order 0
+SLOT_BITS, TOTAL_BITS = 14, 20
+SLOTS2, SLOTS1, RATE = 1 << 13, 1 << 12, 5
+WEIGHTS = 15 << 12  # of the two models in all: fifteen sixteenths of 2^16
+FIELDS, LESS = 0xFFFF_0000_FFFF, 0x03FF_03FF_03FF_03FF
+MORE = 1020 << (np.arange(4) * 16)  # for the event that came; fields sum to 32 x 1020 + 124 at most
+PRIOR_IDS, LEAN = 1 << 16, 200  # ids under the prior, and how steeply it falls
+WIDE = 1 << 31  # marks a block with ids from 2^16 on, whose new ids take their upper 15 bits first
+MOST_ID = (1 << 29) - 1
+HEAD = struct.Struct("<III")  # ids, 16-bit words and the mark, crc32 of the ids as little-endian unsigned 32-bit integers
+LOW, MASK32 = (1 << 48) - 1, (1 << 32) - 1
+
+
+def _prior() -> np.ndarray:
+    """Bounds of the ids below 2^16 among 2^20: vocabularies list frequent pieces first."""
+    size = 1 + ((1 << 24) // (np.arange(PRIOR_IDS, dtype=np.int64) + LEAN)) * 2
+    size = 1 + size * ((1 << TOTAL_BITS) - PRIOR_IDS) // size.sum()
+    size[0] += (1 << TOTAL_BITS) - size.sum()
+    return np.concatenate(([0], np.cumsum(size)))
+
+
+PRIOR = _prior()
 
 
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, first slot of each and the end) over 2^14 slots, at least one each."""
-    own, count = np.unique(ids, return_counts=True)
-    slots = 1 + count * ((1 << SLOT_BITS) - len(own)) // len(ids)
-    slots[np.argmax(slots)] += (1 << SLOT_BITS) - slots.sum()
-    return own, np.concatenate(([0], np.cumsum(slots)))
+def cut(ids: np.ndarray) -> list[np.ndarray]:
+    """A segment's ids as blocks."""
+    size = min(BLOCK, max(LEAST_BLOCK, -(-len(ids) // SIDE_BY_SIDE)))
+    return [ids[k : k + size] for k in range(0, len(ids), size)]
+
+
+def _epochs(longest: int) -> list[int]:
+    """Where order 0 is renewed: at every third more ids, at STRIDE ids at most."""
+    out = [FIRST]
+    while (at := out[-1] + min(max(out[-1] // 3, 16), STRIDE)) < longest:
+        out.append(at)
+    return out
+
+
+def _slots(count: np.ndarray) -> np.ndarray:
+    """First slot of each id and the end, over 2^14 slots, at least one each."""
+    slots = count * ((1 << SLOT_BITS) - len(count)) // int(count.sum()) + 1
+    slots[slots.argmax()] += (1 << SLOT_BITS) - int(slots.sum())
+    out = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(slots, out=out[1:])
+    return out
+
+
+class _Seen:
+    """The distinct ids of a decoded lane and how often they occurred; the last RECENT ids count RECENT_TIMES."""
+
+    def __init__(self):
+        self.own, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def slots(self, ids: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct ids, their slots) of all ids; `done` of them were counted before."""
+        part, many = np.unique(ids[done:], return_counts=True)
+        at = np.searchsorted(self.own, part)
+        new = np.append(self.own, 0)[at] != part if len(self.own) else np.ones(len(part), bool)
+        new |= at == len(self.own)
+        self.count[at[~new]] += many[~new]
+        self.own, self.count = np.insert(self.own, at[new], part[new]), np.insert(self.count, at[new], many[new])
+        late, many = (part, many) if len(ids) - done == min(RECENT, len(ids)) else np.unique(ids[-RECENT:], return_counts=True)
+        count = self.count.copy()
+        count[np.searchsorted(self.own, late)] += many * (RECENT_TIMES - 1)
+        return self.own, _slots(count)
 
 
 class _State:
-    """The predictions of all lanes."""
+    """The predictions of all lanes. A model's distribution over the four events is one integer of four 16-bit fields
+    (order 2 lowest, then order 1, order 0, new), of 2^15 in all, so a step updates it whole."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
+        lane = np.arange(lanes, dtype=np.int64)
         self.table2, self.table1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)
-        even = np.array([8, 8, 32, 16], np.int32) << 10  # order 2, order 1, order 0, new; the sum stays 2^16
-        self.by_trust, self.by_past = np.tile(even, (lanes * 32, 1)), np.tile(even, (lanes * 16, 1))
-        self.last, self.before, self.past = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.base2, self.base1, self.base_trust, self.base_past = self.lane * SLOTS2, self.lane * SLOTS1, self.lane * 32, self.lane * 16
+        even = 4000 | 4000 << 16 | 16000 << 32 | 8000 << 48
+        self.by_trust, self.by_past = np.full(lanes * 16, even), np.full(lanes * 64, even)
+        self.weight = np.full(lanes, WEIGHTS // 2)  # of the first model
+        self.last, self.past, self.key1 = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.base2, self.base1, self.base_trust, self.base_past = lane * SLOTS2, lane * SLOTS1, lane * 16, lane * 64
 
     def predict(self) -> None:
         """Candidates and the bounds of the events among 2^20."""
-        self.at2 = self.base2 + ((self.before * 40503 + self.last * 30011 >> 4) & (SLOTS2 - 1))
-        self.at1 = self.base1 + ((self.last * 40503 >> 5) & (SLOTS1 - 1))
+        key = self.key1 + self.last * 30011  # of the id before the last, and the last
+        self.key1 = self.last * 40503
+        self.at2 = (key >> 4 & SLOTS2 - 1) + self.base2
+        self.at1 = (self.key1 >> 5 & SLOTS1 - 1) + self.base1
         self.entry2, self.entry1 = self.table2.take(self.at2), self.table1.take(self.at1)
+        self.trust2, self.trust1 = self.entry2 & 3, self.entry1 & 3
         self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
-        self.trust = self.base_trust + ((self.entry2 & 3) << 3 | (self.entry1 & 3) << 1 | (self.guess2 == self.guess1))
-        self.row_trust, self.row_past = self.by_trust.take(self.trust, 0), self.by_past.take(self.base_past + self.past, 0)
-        p = self.row_trust + self.row_past  # at most 2^17 in all
-        f2, f1, fn = 64 + (p[:, 0] * 15 >> 1), 64 + (p[:, 1] * 15 >> 1), 64 + (p[:, 3] * 15 >> 1)
-        self.end2 = f2
-        self.end1 = f2 + f1
-        self.end0 = (1 << TOTAL_BITS) - fn  # order 0 lies between end1 and end0
+        self.at_trust = (self.trust2 << 2 | self.trust1) + self.base_trust
+        self.at_past = self.past + self.base_past
+        self.own_trust, self.own_past = self.by_trust.take(self.at_trust), self.by_past.take(self.at_past)
+        rest = WEIGHTS - self.weight
+        even = (self.own_trust & FIELDS) * self.weight + (self.own_past & FIELDS) * rest  # order 2, order 0
+        odd = (self.own_trust >> 16 & FIELDS) * self.weight + (self.own_past >> 16 & FIELDS) * rest  # order 1, new
+        self.end2 = (even & 0xFFFFFFFF) >> 11
+        self.end1 = ((odd & 0xFFFFFFFF) >> 11) + self.end2
+        self.end0 = (1 << TOTAL_BITS) - (odd >> 43)  # order 0 lies between end1 and end0, a sixteenth at least
 
     def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
-        spot = self.lane * 4 + event
-        for table, rows, row in ((self.by_trust, self.trust, self.row_trust), (self.by_past, self.base_past + self.past, self.row_past)):
-            row -= row >> RATE  # rounded down, so the sum stays within 2^16 + 92
-            row.ravel()[spot] += (1 << (16 - RATE)) - 1
-            table[rows] = row
+        field, more = event << 4, MORE.take(event)
+        self.weight += ((self.own_trust >> field & 0xFFFF) - (self.own_past >> field & 0xFFFF)) >> 3
+        np.minimum(self.weight, WEIGHTS - 1024, out=self.weight)
+        np.maximum(self.weight, 1024, out=self.weight)
+        self.by_trust[self.at_trust] = self.own_trust - (self.own_trust >> RATE & LESS) + more
+        self.by_past[self.at_past] = self.own_past - (self.own_past >> RATE & LESS) + more
         plain = (ids << 2 | 1).astype(np.int32)
-        for table, at, entry, guess in ((self.table2, self.at2, self.entry2, self.guess2), (self.table1, self.at1, self.entry1, self.guess1)):
-            trust = entry & 3
+        for table, at, entry, trust, guess in ((self.table2, self.at2, self.entry2, self.trust2, self.guess2), (self.table1, self.at1, self.entry1, self.trust1, self.guess1)):
             table[at] = np.where((guess == ids) & (trust > 0), entry + (trust < 3), np.where(trust > 1, entry - 1, plain))
-        self.past = (self.past << 2 & 12) | event
-        self.before, self.last = self.last, ids
+        self.past = self.past << 2 & 63 | event
+        self.last = ids
 
     def narrow(self, live: int) -> None:
         """Go on with the first `live` lanes."""
-        for name in ("lane", "last", "before", "past", "base2", "base1", "base_trust", "base_past"):
+        for name in ("last", "past", "key1", "weight", "base2", "base1", "base_trust", "base_past"):
             setattr(self, name, getattr(self, name)[:live])
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of at most BLOCK ids below 2^16 as bytes; longer lists of blocks go in turns."""
+    """Each block of at most BLOCK ids below 2^29 as bytes; longer lists of blocks go in turns."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     for a in range(0, len(order), LANES):
@@ -96,90 +158,102 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, longest = len(blocks), len(blocks[0])
     sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((longest, lanes), np.int64)
-    first, last = np.zeros((longest, lanes), np.int32), np.zeros((longest, lanes), np.int32)  # slots in order 0; none: new
+    ids = np.zeros((longest, lanes), np.uint32)
+    first, last = np.zeros((longest, lanes), np.uint16), np.zeros((longest, lanes), np.uint16)  # slots in order 0; none: new
+    wide = np.array([int(b.max(initial=0)) >= PRIOR_IDS for b in blocks])
+    if wide.any() and max(int(b.max(initial=0)) for b in blocks) > MOST_ID:
+        raise ValueError("an id is above 29 bits")
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-        for start, stop in zip(EPOCHS, (*EPOCHS[1:], BLOCK), strict=True):
-            if start < len(b):
-                own, slots = _frequencies(b[:start])
-                part = b[start:stop]
-                at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-                known = own[at] == part
-                first[start : start + len(part), k] = np.where(known, slots[at], 0)
-                last[start : start + len(part), k] = np.where(known, slots[at + 1], 0)
+        if len(b) <= FIRST:
+            continue
+        distinct, rank = np.unique(b, return_inverse=True)
+        count, done, epochs = np.zeros(len(distinct), np.int64), 0, _epochs(len(b))
+        bounds = np.zeros((2, len(distinct)), np.uint16)
+        for start, stop in zip(epochs, [*epochs[1:], len(b)], strict=True):
+            count += np.bincount(rank[done:start], minlength=len(distinct))
+            done = start
+            own = np.flatnonzero(count)
+            slots = _slots((count + np.bincount(rank[max(0, start - RECENT) : start], minlength=len(distinct)) * (RECENT_TIMES - 1))[own])
+            bounds[0, own], bounds[1, own] = slots[:-1], slots[1:]
+            first[start:stop, k], last[start:stop, k] = bounds[0].take(rank[start:stop]), bounds[1].take(rank[start:stop])
     state = _State(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
-    words = np.zeros((lanes, 2 * longest + 8), np.uint32)  # may hold 2^16 until carries are settled
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
+    words = np.zeros((lanes, longest * 5 // 8 + 64), np.uint16)
     count = np.zeros(lanes, np.int64)
 
+    def carry(row: np.ndarray) -> None:
+        at = count[row] - 1
+        while len(row):
+            words[row, at] += np.uint16(1)
+            over = words[row, at] == 0
+            row, at = row[over], at[over] - 1
+
+    def emit(row: np.ndarray, word: np.ndarray) -> None:
+        words[row, count[row]] = word.astype(np.uint16)
+        count[row] += 1
+
     def put(begin: np.ndarray, size: np.ndarray, bits: int, some: np.ndarray | None = None) -> None:
         nonlocal low, width
         lo, w = (low, width) if some is None else (low[some], width[some])
-        unit = w >> np.uint64(bits)
-        lo = lo + unit * begin.astype(np.uint64)
-        w = unit * size.astype(np.uint64)
-        over = np.flatnonzero(lo >> np.uint64(48))
-        if len(over):
-            row = over if some is None else some[over]
-            words[row, count[row] - 1] += 1
-            lo[over] &= np.uint64((1 << 48) - 1)
-        while True:
-            short = np.flatnonzero(w < np.uint64(1 << 32))
-            if not len(short):
-                break
-            row = short if some is None else some[short]
-            words[row, count[row]] = lo[short] >> np.uint64(32)
-            count[row] += 1
-            lo[short] = (lo[short] & MASK32) << np.uint64(16)
-            w[short] <<= np.uint64(16)
+        unit = w >> bits
+        lo = lo + unit * begin
+        w = unit * size
+        if len(over := np.flatnonzero(lo > LOW)):
+            carry(over if some is None else some[over])
+            lo[over] &= LOW
+        while len(short := np.flatnonzero(w <= MASK32)):
+            own = lo[short]
+            emit(short if some is None else some[short], own >> 32)
+            lo[short] = (own & MASK32) << 16
+            w[short] <<= 16
         if some is None:
             low, width = lo, w
         else:
             low[some], width[some] = lo, w
 
+    def finish(begin: int) -> None:
+        ended = np.arange(begin, len(low))
+        for _ in range(3):
+            emit(ended, low[ended] >> 32)
+            low[ended] = (low[ended] & MASK32) << 16
+
     live = lanes
     for t in range(longest):
+        if not t & 15 and count.max() + 128 > words.shape[1]:  # an id takes 5 words at most
+            words = np.pad(words, ((0, 0), (0, words.shape[1] // 2 + 128)))
         while sizes[live - 1] <= t:
             live -= 1
         if live < len(low):
-            ended = np.arange(live, len(low))
-            for _ in range(3):
-                words[ended, count[ended]] = low[ended] >> np.uint64(32)
-                count[ended] += 1
-                low[ended] = (low[ended] & MASK32) << np.uint64(16)
+            finish(live)
             low, width = low[:live], width[:live]
             state.narrow(live)
         state.predict()
-        now = ids[t, :live]
-        a, z = first[t, :live], last[t, :live]
-        is2 = (state.guess2 == now) & (state.entry2 != 0)
-        is1 = (state.guess1 == now) & (state.entry1 != 0) & ~is2
-        is0 = (z > 0) & ~is2 & ~is1
+        now = ids[t, :live].astype(np.int64)
+        a, z = first[t, :live].astype(np.int64), last[t, :live].astype(np.int64)
+        is2 = (state.guess2 == now) & (state.trust2 > 0)
+        is1 = (state.guess1 == now) & (state.trust1 > 0)
+        is0 = z > 0
         event = np.where(is2, 0, np.where(is1, 1, np.where(is0, 2, 3)))
-        room = (state.end0 - state.end1).astype(np.int64)
-        begin0 = state.end1 + (a * room >> SLOT_BITS)
-        begin = np.where(is2, 0, np.where(is1, state.end2, np.where(is0, begin0, state.end0)))
+        room = state.end0 - state.end1
+        begin = np.where(is2, 0, np.where(is1, state.end2, np.where(is0, state.end1 + (a * room >> SLOT_BITS), state.end0)))
         end = np.where(is2, state.end2, np.where(is1, state.end1, np.where(is0, state.end1 + (z * room >> SLOT_BITS), 1 << TOTAL_BITS)))
         put(begin, end - begin, TOTAL_BITS)
         new = np.flatnonzero(event == 3)
         if len(new):
-            put(now[new], np.ones(len(new), np.int64), ID_BITS, new)
+            far = new[wide[new]]
+            if len(far):
+                put(now[far] >> 16, np.ones(len(far), np.int64), 15, far)
+            low16 = now[new] & 0xFFFF
+            put(PRIOR[low16], PRIOR[low16 + 1] - PRIOR[low16], TOTAL_BITS, new)
         state.learn(event, now)
-    ended = np.arange(len(low))
-    for _ in range(3):
-        words[ended, count[ended]] = low[ended] >> np.uint64(32)
-        count[ended] += 1
-        low[ended] = (low[ended] & MASK32) << np.uint64(16)
-    while (carry := words >> 16).any():
-        words &= np.uint32(0xFFFF)
-        words[:, :-1] += carry[:, 1:]
-    return [HEAD.pack(len(b), int(n), checksum(b)) + w[:n].astype("<u2").tobytes() for b, n, w in zip(blocks, count, words, strict=True)]
+    finish(0)
+    return [HEAD.pack(len(b), int(n) | (WIDE if far else 0), checksum(b)) + w[:n].astype("<u2").tobytes() for b, n, w, far in zip(blocks, count, words, wide, strict=True)]
 
 
 def decode_blocks(blobs: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; ValueError if a checksum is wrong."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(blobs)
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blobs)
     order = sorted(range(len(blobs)), key=lambda k: -HEAD.unpack_from(blobs[k])[0])
     for a in range(0, len(order), LANES):
         some = order[a : a + LANES]
@@ -191,76 +265,87 @@ def decode_blocks(blobs: list[bytes]) -> list[np.ndarray]:
 def _decode(blobs: list[bytes]) -> list[np.ndarray]:
     lanes = len(blobs)
     heads = [HEAD.unpack_from(b) for b in blobs]
-    sizes = np.array([h[0] for h in heads])
+    sizes, wide = np.array([h[0] for h in heads]), np.array([h[1] >= WIDE for h in heads])
+    many = [h[1] % WIDE for h in heads]
     longest = int(sizes[0])
-    words = np.zeros((lanes, max(h[1] for h in heads) + 4), np.uint64)
-    for k, (b, h) in enumerate(zip(blobs, heads, strict=True)):
-        words[k, : h[1]] = np.frombuffer(b, "<u2", h[1], HEAD.size)
-    ids = np.zeros((longest, lanes), np.int64)
+    if longest > BLOCK:
+        raise ValueError("a block is damaged")
+    words = np.zeros((lanes, max(many) + 4), np.uint16)
+    for k, (b, n) in enumerate(zip(blobs, many, strict=True)):
+        words[k, :n] = np.frombuffer(b, "<u2", n, HEAD.size)
+    ids = np.zeros((lanes, longest), np.uint32)
     state = _State(lanes)
-    code = words[:, 0] << np.uint64(32) | words[:, 1] << np.uint64(16) | words[:, 2]  # relative to the coder's low
-    width, count = np.full(lanes, 1 << 48, np.uint64), np.full(lanes, 3, np.int64)
-    slots = 1 << SLOT_BITS
-    slot_id, slot_first, slot_size = (np.zeros((lanes, slots), np.uint16) for _ in range(3))
+    code = words[:, 0].astype(np.int64) << 32 | words[:, 1].astype(np.int64) << 16 | words[:, 2]  # relative to the coder's low
+    width, count = np.full(lanes, 1 << 48), np.full(lanes, 3)
+    slots, most = 1 << SLOT_BITS, min(longest, BLOCK) + 1
+    rank_of, own_id, own_first = np.zeros((lanes, slots), np.uint16), np.zeros((lanes, most), np.uint32), np.zeros((lanes, most), np.uint16)
+    seen, done = [_Seen() for _ in range(lanes)], 0
 
     def take(begin: np.ndarray, size: np.ndarray, unit: np.ndarray, some: np.ndarray | None = None) -> None:
         nonlocal code, width
         if not size.all():
             raise ValueError("a block is damaged")
-        c = (code if some is None else code[some]) - unit * begin.astype(np.uint64)
-        w = unit * size.astype(np.uint64)
-        while True:
-            short = np.flatnonzero(w < np.uint64(1 << 32))
-            if not len(short):
-                break
+        c = (code if some is None else code[some]) - unit * begin
+        w = unit * size
+        while len(short := np.flatnonzero(w <= MASK32)):
             row = short if some is None else some[short]
-            c[short] = c[short] << np.uint64(16) | words[row, np.minimum(count[row], words.shape[1] - 1)]
-            count[row] += 1
-            w[short] <<= np.uint64(16)
+            at = count[row]
+            c[short] = c[short] << 16 | words[row, np.minimum(at, words.shape[1] - 1)]
+            count[row] = at + 1
+            w[short] <<= 16
         if some is None:
             code, width = c, w
         else:
             code[some], width[some] = c, w
 
-    live = lanes
+    live, epochs = lanes, set(_epochs(longest))
     for t in range(longest):
         while sizes[live - 1] <= t:
             live -= 1
         if live < len(code):
             code, width = code[:live], width[:live]
             state.narrow(live)
-        if t in EPOCHS:
+        if t in epochs:
             for k in range(live):
-                own, cut = _frequencies(ids[:t, k])
-                many = np.diff(cut)
-                slot_id[k], slot_first[k], slot_size[k] = np.repeat(own, many), np.repeat(cut[:-1], many), np.repeat(many, many)
+                own, bounds = seen[k].slots(ids[k, :t], done)
+                rank_of[k] = np.repeat(np.arange(len(own), dtype=np.uint16), np.diff(bounds))
+                own_id[k, : len(own)], own_first[k, : len(bounds)] = own, bounds
+            done = t
         state.predict()
-        unit = width >> np.uint64(TOTAL_BITS)
-        value = np.minimum(code // unit, np.uint64((1 << TOTAL_BITS) - 1)).astype(np.int64)
+        unit = width >> TOTAL_BITS
+        value = np.minimum(code // unit, (1 << TOTAL_BITS) - 1)
         is2 = value < state.end2
         is1 = (value < state.end1) & ~is2
         is3 = value >= state.end0
         event = np.where(is2, 0, np.where(is1, 1, np.where(is3, 3, 2)))
         now = np.where(is2, state.guess2, state.guess1).astype(np.int64)
-        begin, end = np.where(is2, 0, state.end2).astype(np.int64), np.where(is2, state.end2, state.end1).astype(np.int64)
+        begin, end = np.where(is2, 0, state.end2), np.where(is2, state.end2, state.end1)
         if len(k := np.flatnonzero(event == 2)):
-            end1 = state.end1[k].astype(np.int64)
+            end1 = state.end1[k]
             room = state.end0[k] - end1
             slot = np.minimum((((value[k] - end1 + 1) << SLOT_BITS) - 1) // room, slots - 1)
-            now[k] = slot_id[k, slot]
-            a = slot_first[k, slot].astype(np.int64)
-            begin[k] = end1 + (a * room >> SLOT_BITS)
-            end[k] = end1 + ((a + slot_size[k, slot]) * room >> SLOT_BITS)
+            at = rank_of[k, slot].astype(np.int64) + k * most
+            now[k] = own_id.ravel().take(at)
+            bounds = own_first.ravel()
+            begin[k] = end1 + (bounds.take(at).astype(np.int64) * room >> SLOT_BITS)
+            end[k] = end1 + (bounds.take(at + 1).astype(np.int64) * room >> SLOT_BITS)
         new = np.flatnonzero(is3)
         begin[new], end[new] = state.end0[new], 1 << TOTAL_BITS
         take(begin, end - begin, unit)
         if len(new):
-            unit = width[new] >> np.uint64(ID_BITS)
-            now[new] = np.minimum(code[new] // unit, np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
-            take(now[new], np.ones(len(new), np.int64), unit, new)
-        ids[t, :live] = now
+            far = new[wide[new]]
+            now[new] = 0
+            if len(far):
+                unit = width[far] >> 15
+                now[far] = np.minimum(code[far] // unit, (1 << 15) - 1)
+                take(now[far], np.ones(len(far), np.int64), unit, far)
+            unit = width[new] >> TOTAL_BITS
+            own = np.searchsorted(PRIOR, np.minimum(code[new] // unit, (1 << TOTAL_BITS) - 1), "right") - 1
+            take(PRIOR[own], PRIOR[own + 1] - PRIOR[own], unit, new)
+            now[new] = now[new] << 16 | own
+        ids[:live, t] = now
         state.learn(event, now)
-    out = [ids[:n, k].copy() for k, n in enumerate(sizes)]
+    out = [ids[k, :n].copy() for k, n in enumerate(sizes)]
     for own, head in zip(out, heads, strict=True):
         if checksum(own) != head[2]:
             raise ValueError("a block's checksum is wrong")

@@ -6,9 +6,10 @@ checksum. The files are a Parquet dataset, so any store that Spark writes to wil
 it, can be decoded alone. Bytes of the payload: the number of blocks, their sizes (32-bit little-endian each), the
 blocks.
 
-Texts are encoded by distinct chunks (white space and what follows it), which is exact for byte-level tokenizers, as
-their pre-tokens never cross the start of a run of white space; texts with white space outside ASCII, and other
-tokenizers, are encoded whole.
+Texts are encoded by distinct chunks, which is exact for byte-level tokenizers: a chunk is a run of white space and what
+follows it, cut where ASCII letters, digits and other signs meet, and pre-tokens never cross such a place (apostrophes
+and all above ASCII are never cut off). Texts with white space outside ASCII or with an added token's content, and
+texts for other tokenizers, are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,13 +33,28 @@ from netloom.llm import mixing
 from netloom.llm.common import binary, blocks, modest, pack, partitions, shared_dir, slices, table, trim, unpack
 from netloom.llm.token_counts import model_bytes
 
-SEGMENT = 4 << 20  # bytes of text in a segment
-BATCH, CHUNKS = 10_000, 200_000  # texts or chunks encoded at once, and remembered before all are forgotten
-CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")  # UTF-8
+SEGMENT, PIECE = 16 << 20, 1 << 20  # bytes of text in a segment, and of those encoded at once
+BATCH, CHUNKS = 10_000, 150_000  # texts or chunks encoded at once; chunks remembered, before those used once are forgotten
+_SIGN, _OTHER = rb"[!-&(-/:-@\[-`{-~]", rb"['\x00-\x08\x0e-\x1f\x7f-\xff]"
+_RUN = rb"(?:[A-Za-z]++|[0-9]++|" + _SIGN + rb"++)"
+CHUNK = re.compile(rb"[ \t-\r]*+(?:(?:" + _RUN + rb"?+" + _OTHER + rb"++)++" + _RUN + rb"?+|" + _RUN + rb")|[ \t-\r]++")
+OTHER_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"  # UTF-8
 SCHEMA = "shard int, seq int, n_ids long, docs binary, payload binary"
 
 
+class _Codes(dict):
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = code = len(self)
+        return code
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, the others follow from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
 class Chunks:
     """Ids of whole texts, as the tokenizers library gives them, by distinct chunks where that is exact."""
 
@@ -48,45 +65,71 @@ class Chunks:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         own = json.loads(tokenizer_json)
-        before = own.get("pre_tokenizer") or {}
-        plain = all(not a["lstrip"] and not a["rstrip"] and not re.search(r"\s", a["content"]) for a in own.get("added_tokens") or ())
-        self.forget()
-        self.exact = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer") and plain
-
-    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        before, added = own.get("pre_tokenizer") or {}, [a["content"] for a in own.get("added_tokens") or ()]
+        self.exact = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
+        self.apart = re.compile(b"|".join([OTHER_SPACE, *(re.escape(a.encode()) for a in added if a)]))
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.known = _Codes()
+        self.size, self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
         for a in range(0, len(texts), BATCH):
             out += [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[a : a + BATCH]], add_special_tokens=False)]
         return out
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
+        """A space and Latin letters alone are one pre-token, which the model takes without the steps before it."""
+        out: list[list[int]] = [[]] * len(chunks)
+        rest, model = [], self.tokenizer.model
+        for k, chunk in enumerate(chunks):
+            word = chunk[1:] if chunk[:1] == b" " else chunk
+            if word.isalpha() or (text := word.decode()).isalpha() and max(text) < "\u0250":
+                out[k] = [t.id for t in model.tokenize(chunk.decode("latin-1").translate(self.letters))]
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, self._whole([chunks[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
     def _learn(self, chunks: list[bytes]) -> None:
         own = self._ids(chunks)
         size = np.fromiter(map(len, own), np.int64, len(own))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.uint32, int(size.sum()))])
         self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(own), np.int64)])
+
+    def _forget(self) -> None:
+        """Chunks used once, and all of them if most were used again."""
+        stay = self.uses > 1
+        if stay.sum() > CHUNKS // 2:
+            stay[:] = False
+        self.known = _Codes(zip((c for c, s in zip(self.known, stay.tolist(), strict=True) if s), range(int(stay.sum())), strict=True))
+        self.flat = self.flat[np.repeat(stay, self.size)]
+        self.size, self.uses = self.size[stay], np.zeros(int(stay.sum()), np.int64)
 
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by `end`; number of ids of each)."""
         if len(self.known) > CHUNKS:
-            self.forget()
-        known, before, docs = self.known, len(self.known), []
-        for text in texts:
-            parts = CHUNK.findall(text) if self.exact and not OTHER_SPACE.search(text) else [text] if text else []
-            docs.append([known.setdefault(c, len(known)) for c in parts])
-        self._learn(list(islice(known, before, None)))
-        size, flat = np.append(self.size, 1), np.append(self.flat, np.uint32(end))
-        begin = np.cumsum(size) - size
-        last = len(size) - 1
-        code = np.fromiter(chain.from_iterable([*d, last] for d in docs), np.int64, sum(map(len, docs)) + len(docs))
-        n = size[code]
-        ids = flat[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
-        ends = np.cumsum([len(d) + 1 for d in docs]) - 1
-        total = np.cumsum(n)[ends] if len(docs) else np.zeros(0, np.int64)
-        return ids, np.diff(total, prepend=0)
+            self._forget()
+        before = len(self.known)
+        parts = [CHUNK.findall(t) if self.exact and not self.apart.search(t) else None for t in texts]
+        whole = [k for k, p in enumerate(parts) if p is None]
+        count = np.array([len(p or ()) for p in parts], np.int64)
+        code = np.fromiter(map(self.known.__getitem__, chain.from_iterable(p for p in parts if p)), np.int64, int(count.sum()))
+        del parts
+        self._learn(list(islice(self.known, before, None)))
+        self.uses += np.bincount(code, minlength=len(self.known))
+        begin, n = np.cumsum(self.size) - self.size, self.size[code]
+        ids = self.flat[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)]
+        ids, size = np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
+        if whole:
+            each = np.split(ids, np.cumsum(size)[:-1])
+            for k, own in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+                each[k] = np.array([*own, end], np.uint32)
+            ids, size = np.concatenate(each), np.array([len(x) for x in each])
+        return ids, size
 
 
 @lru_cache(maxsize=2)
@@ -95,9 +138,17 @@ def chunks(tokenizer_json: bytes) -> Chunks:
     return Chunks(tokenizer_json)
 
 
+def _portions(texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+    """Rows of about PIECE bytes of text."""
+    size = np.cumsum(pc.binary_length(texts.cast(pa.large_binary())).fill_null(0).to_numpy())
+    cuts = np.flatnonzero(np.diff(size // PIECE, prepend=0)).tolist()
+    return zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(texts)], strict=True)
+
+
 def write_token_files(docs: DataFrame, tokenizer_json: bytes, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text, `end` appended to each, in ascending order of id (a long); equal ids in the order
-    of their texts, null ids first. Null texts are empty. No rows: a dataset without segments. Ids must lie below 2^16.
+    of their texts, null ids first. Null texts are empty; repeated rows each have their place. No rows: a dataset without
+    segments. Other columns are ignored. Token ids must lie below 2^29.
     """
     modest(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -106,16 +157,18 @@ def write_token_files(docs: DataFrame, tokenizer_json: bytes, path: str, end: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = chunks(tokenizer_json), TaskContext.get().partitionId()
         for seq, (_, own) in enumerate(blocks(batches, SEGMENT)):
-            ids, size = encode(list(chain.from_iterable(binary(c) for c in own.column("text").chunks)), end)
-            if ids.max(initial=0) >> mixing.ID_BITS:
-                raise ValueError("an id is above 16 bits")
-            name = own.column("id")
+            name, found = own.column("id").combine_chunks(), []
+            for a, z in _portions(own.column("text")):
+                found.append(encode(binary(own.column("text").slice(a, z - a)), end))
+            del own
+            ids, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            del found
             index = pack(name.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), name.fill_null(0).to_numpy(), size)
-            parts = mixing.encode_blocks([ids[k : k + mixing.BLOCK] for k in range(0, len(ids), mixing.BLOCK)])
+            parts = mixing.encode_blocks(mixing.cut(ids))
             payload = struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)]), pa.array([index], pa.binary()), pa.array([payload], pa.binary())], names=["shard", "seq", "n_ids", "docs", "payload"])
-        encode.forget()
-        trim()
+            del ids, parts, payload
+            trim()
 
     rows.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
 
@@ -124,7 +177,7 @@ def segment_ids(payload: bytes) -> np.ndarray:
     n = struct.unpack_from("<I", payload)[0]
     sizes = struct.unpack_from(f"<{n}I", payload, 4)
     at = np.cumsum((4 + 4 * n, *sizes))
-    return np.concatenate(mixing.decode_blocks([payload[a:z] for a, z in zip(at, at[1:], strict=False)]) or [np.zeros(0, np.int64)])
+    return np.concatenate(mixing.decode_blocks([payload[a:z] for a, z in zip(at, at[1:], strict=False)]) or [np.zeros(0, np.uint32)])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
