@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import decontaminate, near_copies, pieces, quality, suffix_dedup
-from netloom.llm.common import shared_dir, table
+from netloom.llm.common import mark, release, remove, shared_dir, table
 from netloom.llm.token_counts import model_bytes
 
 
@@ -23,11 +23,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the bytes of 100-byte strings that start earlier in the corpus; bytes of a character
-    that a cut leaves incomplete go as well."""
-    kept = suffix_dedup.dedup_substrings(docs)
-    whole = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")))
+    """Every document, without the bytes of 100-byte strings that start earlier in the corpus, and without characters
+    that a cut leaves incomplete; a null text stays null."""
+    kept = suffix_dedup.dedup_substrings(docs, whole="__whole")
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("__whole"))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -38,8 +37,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
-    return pieces.encode_pieces(docs, model_bytes("piece_bpe_32k.model")).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Documents with their token ids, the text decoded from them and whether the two libraries' ids differ."""
+    return pieces.encode_pieces(docs, model_bytes("piece_bpe_32k.model"), decoded="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
@@ -56,6 +55,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        begin = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        release(spark, begin)  # the stage's own intermediate tables, and what it read
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
