@@ -131,9 +131,10 @@ def hexdump(packets: DataFrame, frame: str = "frame", keys: tuple[str, ...] = ("
     return rows.select(*keys, F.lower(F.lpad(F.hex("at"), 6, "0")).alias("offset"), pairs.alias("hex"), text.alias("ascii"))
 
 
-def byte_grid(packets: DataFrame, frame: str = "frame", width: int = 64, keys: tuple[str, ...] = ("packet_no",)) -> DataFrame:
-    """(keys, pos, byte): the first `width` bytes of each packet, one a row."""
-    return packets.select(*keys, F.posexplode(byte_array(F.substring(F.col(frame), 1, width))).alias("pos", "byte"))
+def byte_grid(packets: DataFrame, frame: str = "frame", width: int | None = None, keys: tuple[str, ...] = ("packet_no",)) -> DataFrame:
+    """(keys, pos, byte): the bytes of each packet (its first `width` ones, if given), one a row."""
+    data = F.col(frame) if width is None else F.substring(F.col(frame), 1, width)
+    return packets.select(*keys, F.posexplode(byte_array(data)).alias("pos", "byte"))
 
 
 def constant_bytes(grid: DataFrame) -> DataFrame:

@@ -167,9 +167,9 @@ def byte_array(data: Column) -> Column:
 
 def ones_sum(data: Column) -> Column:
     """Folded one's-complement sum of big-endian 16-bit words; an odd last byte is the high one."""
-    words = (F.length(data) + 1) / 2
-    padded = F.concat(F.hex(data), F.when(F.length(data) % 2 == 1, "00").otherwise(""))
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(words.cast("int") - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, k: s + F.coalesce(F.conv(F.nullif(F.substring(padded, k * 4 + 1, F.lit(4)), F.lit("")), 16, 10).cast("long"), F.lit(0)))
+    words = ((F.length(data) + 1) / 2).cast("int")
+    word = lambda k: F.conv(F.rpad(F.hex(F.substring(data, k * 2 + 1, F.lit(2))), 4, "0"), 16, 10).cast("long")
+    total = F.when(F.length(data) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(words - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, k: s + word(k)))
     fold = lambda x: x.bitwiseAND(0xFFFF) + F.shiftright(x, 16)
     return fold(fold(fold(total)))
 
@@ -180,6 +180,15 @@ def ip_checksum(header: Column) -> Column:
     return F.lit(0xFFFF) - ones_sum(zeroed)
 
 
+def l4_checksum(addresses: Column, proto: Column, segment: Column) -> Column:
+    """Checksum of a whole TCP (6) or UDP (17) segment whose checksum field counts as zero, with the IPv4 pseudo header;
+    addresses: source and destination as 8 bytes. Null for other protocols."""
+    at = F.when(proto == 6, 16).when(proto == 17, 6)
+    zeroed = F.concat(F.substring(segment, F.lit(1), at), F.lit(bytearray(2)), F.substring(segment, at + 3, F.greatest(F.length(segment) - at - 2, F.lit(0))))
+    pseudo = F.concat(addresses, F.unhex(F.lpad(F.hex(proto), 4, "0")), F.unhex(F.lpad(F.hex(F.length(segment)), 4, "0")))
+    return F.lit(0xFFFF) - ones_sum(F.concat(pseudo, zeroed))
+
+
 def payload_class(ethertype: Column, ip_proto: Column, sport: Column, dport: Column) -> Column:
     """What payload is grouped by: (kind, number); TCP and UDP by the lower port if below 1024, else 65535."""
     low = F.least(sport, dport)

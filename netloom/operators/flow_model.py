@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions.scalars import wrapped
 
-FLOW = ("ip4_src", "ip4_dst", "ip_proto", "sport", "dport")
+#: Link layer, addresses of either family, protocol and ports: null where a packet has none.
+FLOW = ("mac_src", "mac_dst", "vlan", "ethertype", "ip4_src", "ip4_dst", "ip6_src", "ip6_dst", "ip_proto", "sport", "dport")
 
 
 def flow_window(keys: tuple[str, ...] = FLOW, order: str = "packet_no"):

@@ -133,8 +133,10 @@ def conversations(p: DataFrame) -> DataFrame:
     """Address pairs ordered as texts."""
     r = report_rows(p).where("sip IS NOT NULL AND dip IS NOT NULL").withColumn("ab", F.col("sip") <= F.col("dip")).withColumn("ba", ~F.col("ab"))
     port = F.when(F.col("pp").isNotNull(), F.concat("pp", F.lit("/"), F.least("sport", "dport").cast("string")))
-    found = r.groupBy(F.least("sip", "dip").alias("ip_a"), F.greatest("sip", "dip").alias("ip_b")).agg(*_sums(), *_sided("ab", "a_to_b"), *_sided("ba", "b_to_a"), listed(F.collect_set("l4")).alias("protocols"), F.collect_set(port).alias("set"), *_seen())
-    return found.withColumns({"dst_ports": listed(F.col("set"), 15), "duration_s": F.round((F.col("last_ts") - F.col("first_ts")) / F.lit(1e9), 3)}).drop("set")
+    each, keys = r.withColumns({"ip_a": F.least("sip", "dip"), "ip_b": F.greatest("sip", "dip"), "port": port}), ["ip_a", "ip_b"]
+    found = each.groupBy(*keys).agg(*_sums(), *_sided("ab", "a_to_b"), *_sided("ba", "b_to_a"), listed(F.collect_set("l4")).alias("protocols"), *_seen())
+    out = found.join(members(each, keys, "port", "n_ports", "dst_ports", 15).drop("n_ports"), keys, "left").fillna("", ["dst_ports"])
+    return out.withColumn("duration_s", F.round((F.col("last_ts") - F.col("first_ts")) / F.lit(1e9), 3))
 
 
 def flows(p: DataFrame) -> DataFrame:

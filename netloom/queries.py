@@ -119,9 +119,9 @@ def _(p):
     return D.hexdump(p).select("packet_no", "offset", "hex")
 
 
-@query("byte_grid", ", d AS (SELECT hex(encode(text)) AS h FROM documents), b AS (SELECT h, unnest(range(0, least(length(h) // 2, 32))) AS pos FROM d) SELECT CAST(pos AS BIGINT) AS pos, count(*) AS packets, count(DISTINCT substr(h, CAST(pos * 2 + 1 AS INT), 2)) AS n_values FROM b GROUP BY pos", documents_as_payload)
+@query("byte_grid", ", d AS (SELECT regexp_extract_all(hex(encode(text)), '..') AS l FROM documents), b AS (SELECT unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM d) SELECT CAST(pos AS BIGINT) AS pos, count(*) AS packets, count(DISTINCT x) AS n_values FROM b GROUP BY pos", documents_as_payload)
 def _(p):
-    return D.constant_bytes(D.byte_grid(p, width=32)).select("pos", "packets", "n_values")
+    return D.constant_bytes(D.byte_grid(p)).select("pos", "packets", "n_values")
 
 
 _KEYWORDS = ", ".join(f"({n}, '{k}')" for n, k in N.IP_PROTOCOLS.items())
@@ -220,11 +220,8 @@ scalar("fn_fmt_ts", "strftime(make_timestamp(ts_nanos // 1000), '%Y-%m-%d %H:%M:
 scalar("fn_fmt_ts_short", "strftime(make_timestamp(ts_nanos // 1000), '%H:%M:%S.%g')", lambda: S.fmt_ts(F.col("ts_nanos"), short=True))
 scalar("fn_iso", "strftime(make_timestamp(ts_nanos // 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00')", lambda: S.iso(F.col("ts_nanos")))
 _BIG = "(packet_no * packet_no * packet_no)"
-scalar("fn_fmt_bytes", f"CASE WHEN {_BIG} >= 1000000000000 THEN printf('%.1f TB', {_BIG} / 1e12) WHEN {_BIG} >= 1000000000 THEN printf('%.1f GB', {_BIG} / 1e9) WHEN {_BIG} >= 1000000 THEN printf('%.1f MB', {_BIG} / 1e6) WHEN {_BIG} >= 1000 THEN printf('%.1f KB', {_BIG} / 1e3) ELSE {_BIG} || ' B' END", lambda: S.fmt_bytes(F.expr(_BIG)), "packet_no % 100 <> 50")
-scalar("fn_duration", "CASE WHEN packet_no < 120 THEN printf('%.1f s', packet_no * 1.0) WHEN packet_no < 7200 THEN printf('%.1f min', packet_no / 60.0) ELSE printf('%.1f h', packet_no / 3600.0) END", lambda: S.fmt_duration(F.col("packet_no")), "packet_no >= 1 AND packet_no % 6 <> 3 AND packet_no % 180 <> 0")
-#: The same over every row; the two above keep their SQL.
-scalar("fn_fmt_bytes_all", f"CASE WHEN {_BIG} >= 1000000000000 THEN printf('%.1f TB', {_BIG} / 1e12) WHEN {_BIG} >= 1000000000 THEN printf('%.1f GB', {_BIG} / 1e9) WHEN {_BIG} >= 1000000 THEN printf('%.1f MB', {_BIG} / 1e6) WHEN {_BIG} >= 1000 THEN printf('%.1f KB', {_BIG} / 1e3) ELSE {_BIG} || ' B' END", lambda: S.fmt_bytes(F.expr(_BIG)))
-scalar("fn_duration_all", "CASE WHEN packet_no < 1 THEN printf('%.0f ms', packet_no * 1000.0) WHEN packet_no < 120 THEN printf('%.1f s', packet_no * 1.0) WHEN packet_no < 7200 THEN printf('%.1f min', packet_no / 60.0) WHEN packet_no < 172800 THEN printf('%.1f h', packet_no / 3600.0) ELSE printf('%.1f d', packet_no / 86400.0) END", lambda: S.fmt_duration(F.col("packet_no")))
+scalar("fn_fmt_bytes", f"CASE WHEN {_BIG} >= 1000000000000 THEN printf('%.1f TB', {_BIG} / 1e12) WHEN {_BIG} >= 1000000000 THEN printf('%.1f GB', {_BIG} / 1e9) WHEN {_BIG} >= 1000000 THEN printf('%.1f MB', {_BIG} / 1e6) WHEN {_BIG} >= 1000 THEN printf('%.1f KB', {_BIG} / 1e3) ELSE {_BIG} || ' B' END", lambda: S.fmt_bytes(F.expr(_BIG)))
+scalar("fn_duration", "CASE WHEN packet_no < 1 THEN printf('%.0f ms', packet_no * 1000.0) WHEN packet_no < 120 THEN printf('%.1f s', packet_no * 1.0) WHEN packet_no < 7200 THEN printf('%.1f min', packet_no / 60.0) WHEN packet_no < 172800 THEN printf('%.1f h', packet_no / 3600.0) ELSE printf('%.1f d', packet_no / 86400.0) END", lambda: S.fmt_duration(F.col("packet_no")))
 scalar("fn_tcp_flags", "CASE tcp_flags WHEN 2 THEN 'SYN' WHEN 18 THEN 'SYN,ACK' WHEN 4 THEN 'RST' WHEN 24 THEN 'PSH,ACK' END", lambda: S.tcp_flags(F.col("tcp_flags")))
 scalar("fn_sign_extend", "CASE WHEN packet_no % 256 >= 128 THEN packet_no % 256 - 256 ELSE packet_no % 256 END", lambda: S.sign_extend(F.col("packet_no") % 256, 8))
 scalar("fn_zigzag", "CASE WHEN origlen - 100 >= 0 THEN (origlen - 100) * 2 ELSE -(origlen - 100) * 2 - 1 END", lambda: S.zigzag(F.col("origlen") - 100))
@@ -232,16 +229,18 @@ scalar("fn_unzigzag", "CASE WHEN packet_no % 2 = 0 THEN packet_no // 2 ELSE -((p
 scalar("payload_class", "CASE WHEN ip_proto = 6 AND sport IS NOT NULL THEN 'tcp/' || CASE WHEN least(sport, dport) < 1024 THEN least(sport, dport) ELSE 65535 END WHEN ip_proto = 17 AND sport IS NOT NULL THEN 'udp/' || CASE WHEN least(sport, dport) < 1024 THEN least(sport, dport) ELSE 65535 END WHEN ip_proto IS NOT NULL THEN 'ip/' || ip_proto ELSE 'l2/' || ethertype END", lambda: S.payload_class(F.col("ethertype"), F.col("ip_proto"), F.col("sport"), F.col("dport")))
 
 
-def text_scalar(name: str, sql: str, column, where: str = "octet_length(encode(text)) >= 12"):
-    query(name, f"SELECT doc_id AS packet_no, {sql} AS v FROM documents WHERE {where}", documents_as_payload)(lambda p: p.where("length(frame) >= 12").select("packet_no", column().alias("v")))
+def text_scalar(name: str, least: int, sql: str, column):
+    """Over every text; null for those of fewer than `least` bytes."""
+    query(name, f"SELECT doc_id AS packet_no, CASE WHEN octet_length(encode(text)) >= {least} THEN {sql} END AS v FROM documents", documents_as_payload)(lambda p: p.select("packet_no", column().alias("v")))
 
 
-_B = "CAST(('0x' || substr(hex(encode(text)), {0} * 2 + 1, 2)) AS BIGINT)"
-text_scalar("fn_bits", f"({_B.format(2)} * 256 + {_B.format(3)}) // 32 % 128", lambda: S.bits(F.col("frame"), 20, 7))
-text_scalar("fn_uint_be", f"{_B.format(4)} * 65536 + {_B.format(5)} * 256 + {_B.format(6)}", lambda: S.uint_be(F.col("frame"), 4, 3))
-text_scalar("fn_uint_le", f"{_B.format(6)} * 65536 + {_B.format(5)} * 256 + {_B.format(4)}", lambda: S.uint_le(F.col("frame"), 4, 3))
-_SUM12 = " + ".join(f"{_B.format(k)} * {256 if k % 2 == 0 else 1}" for k in range(12))
-text_scalar("fn_ones_sum", f"({_SUM12}) % 65536 + ({_SUM12}) // 65536", lambda: S.ones_sum(F.substring("frame", 1, 12)))
+_B = "CAST(('0x' || rpad(substr(hex(encode(substr(text, 1, 12))), {0} * 2 + 1, 2), 2, '0')) AS BIGINT)"  # 12 characters hold the bytes asked for
+text_scalar("fn_bits", 4, f"({_B.format(2)} * 256 + {_B.format(3)}) // 32 % 128", lambda: S.bits(F.col("frame"), 20, 7))
+text_scalar("fn_uint_be", 7, f"{_B.format(4)} * 65536 + {_B.format(5)} * 256 + {_B.format(6)}", lambda: S.uint_be(F.col("frame"), 4, 3))
+text_scalar("fn_uint_le", 7, f"{_B.format(6)} * 65536 + {_B.format(5)} * 256 + {_B.format(4)}", lambda: S.uint_le(F.col("frame"), 4, 3))
+query("fn_ones_sum", """, d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents), l AS (SELECT r, regexp_extract_all(hex(encode(text)), '..') AS l FROM d),
+    b AS (SELECT r, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM l), s AS (SELECT r, CAST(sum(CAST('0x' || x AS BIGINT) * CASE WHEN k % 2 = 1 THEN 256 ELSE 1 END) AS BIGINT) AS s FROM b GROUP BY r)
+    SELECT doc_id AS packet_no, CASE WHEN text IS NOT NULL THEN CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE (s - 1) % 65535 + 1 END END AS v FROM d LEFT JOIN s USING (r)""", documents_as_payload)(lambda p: p.select("packet_no", S.ones_sum(F.col("frame")).alias("v")))
 query("fn_slug", "SELECT page_id, CASE WHEN s = '' THEN 'field' WHEN regexp_matches(s, '^[0-9]') THEN 'f_' || s ELSE s END AS v FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)", lambda spark, sf: spark.read.parquet(f"{sf}/pages.parquet"))(lambda p: p.select("page_id", S.slug(F.col("url")).alias("v")))
 query("fn_canonical_ts", "SELECT doc_id, regexp_full_match(t, '(0|[1-9][0-9]{0,17})(\\.[0-9]{1,18})?') AS v FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '0' || doc_id WHEN doc_id % 4 = 1 THEN doc_id || '.' ELSE doc_id || '.5' END AS t FROM documents)", lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"))(lambda p: p.select("doc_id", S.canonical_timestamp(F.expr("CASE WHEN doc_id % 4 = 0 THEN '0' || doc_id WHEN doc_id % 4 = 1 THEN doc_id || '.' ELSE doc_id || '.5' END")).alias("v")))
 
@@ -321,11 +320,12 @@ MODEL_COLUMNS = {"ip_id": "(event_id * 40503) % 65536", "seq": "(event_id * 2654
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets(spark, sf_dir).selectExpr("*", *(f"{x.replace('event_id', 'packet_no')} AS {n}" for n, x in MODEL_COLUMNS.items())).where("sport IS NOT NULL AND ip4_src IS NOT NULL")
+    return packets(spark, sf_dir).selectExpr("*", *(f"{x.replace('event_id', 'packet_no')} AS {n}" for n, x in MODEL_COLUMNS.items())).where("sport IS NOT NULL")
 
 
-_FLOW_SQL = ", m AS (SELECT *, " + ", ".join(f"{x.replace('event_id', 'packet_no')} AS {n}" for n, x in MODEL_COLUMNS.items()) + " FROM packets WHERE sport IS NOT NULL AND ip4_src IS NOT NULL)"
-_W = "OVER (PARTITION BY ip4_src, ip4_dst, ip_proto, sport, dport ORDER BY packet_no)"
+_FLOW_SQL = ", m AS (SELECT *, " + ", ".join(f"{x.replace('event_id', 'packet_no')} AS {n}" for n, x in MODEL_COLUMNS.items()) + " FROM packets WHERE sport IS NOT NULL)"
+_FLOW = "mac_src, mac_dst, vlan, ethertype, ip4_src, ip4_dst, v6_src, v6_dst, ip_proto, sport, dport"
+_W = f"OVER (PARTITION BY {_FLOW} ORDER BY packet_no)"
 
 
 def _wrap_sql(x: str, bits: int) -> str:
@@ -337,8 +337,8 @@ _NEXT = "(seq + payload_len + tcp_flags // 2 % 2 + tcp_flags % 2) % 4294967296"
 query("flow_seq_residual", _FLOW_SQL + f", t AS (SELECT *, {_NEXT} AS nx FROM m WHERE ip_proto = 6) SELECT packet_no, {_wrap_sql(f'seq - lag(nx, 1, 0) {_W}', 32)} AS seq_residual FROM t", modelled)(lambda p: W.seq_residual(p.where("ip_proto = 6")).select("packet_no", "seq_residual"))
 query("flow_ack_delta", _FLOW_SQL + f" SELECT packet_no, {_wrap_sql(f'ack - lag(ack, 1, 0) {_W}', 32)} AS ack_delta FROM m", modelled)(lambda p: W.ack_delta(p).select("packet_no", "ack_delta"))
 query("ts_delta", "SELECT packet_no, ts_nanos - lag(ts_nanos, 1, 0) OVER (PARTITION BY packet_no // 1024 ORDER BY packet_no) AS ts_delta FROM packets")(lambda p: W.ts_delta(p, 1024).select("packet_no", "ts_delta"))
-query("flow_ids", _FLOW_SQL + ", f AS (SELECT ip4_src, ip4_dst, ip_proto, sport, dport, min(packet_no) AS first_packet FROM m GROUP BY 1, 2, 3, 4, 5) SELECT *, row_number() OVER (ORDER BY first_packet) - 1 AS flow_id FROM f", modelled)(lambda p: W.flow_ids(p, bucket=1000))
-query("fn_ip_checksum", "SELECT packet_no, (65535 - s) AS v FROM (SELECT packet_no, x % 65536 + x // 65536 AS s FROM (SELECT packet_no, 17664 + (20 + CASE WHEN ip_proto = 6 THEN 25 WHEN ip_proto = 17 THEN 13 ELSE 5 END) + 16384 + ip_proto + ip4_src // 65536 + ip4_src % 65536 + ip4_dst // 65536 + ip4_dst % 65536 AS x FROM packets WHERE ip4_src IS NOT NULL AND vlan IS NULL))", framed)(lambda p: D.dissect(p).where("ip4_src IS NOT NULL AND vlan IS NULL").select("packet_no", S.ip_checksum(F.substring("frame", 15, 20)).alias("v")))
+query("flow_ids", _FLOW_SQL + f", f AS (SELECT {_FLOW}, min(packet_no) AS first_packet FROM m GROUP BY ALL) SELECT mac_src, mac_dst, vlan, ethertype, ip4_src, ip4_dst, ip_proto, sport, dport, first_packet, row_number() OVER (ORDER BY first_packet) - 1 AS flow_id FROM f", modelled)(lambda p: W.flow_ids(p, bucket=1000).drop("ip6_src", "ip6_dst"))
+query("fn_ip_checksum", "SELECT packet_no, (65535 - s) AS v FROM (SELECT packet_no, x % 65536 + x // 65536 AS s FROM (SELECT packet_no, 17664 + (20 + CASE WHEN ip_proto = 6 THEN 25 WHEN ip_proto = 17 THEN 13 ELSE 5 END) + 16384 + ip_proto + ip4_src // 65536 + ip4_src % 65536 + ip4_dst // 65536 + ip4_dst % 65536 AS x FROM packets WHERE ip4_src IS NOT NULL))", framed)(lambda p: D.dissect(p).where("ip4_src IS NOT NULL").select("packet_no", S.ip_checksum(F.substring(F.col("frame"), F.when(F.col("vlan").isNull(), 15).otherwise(19), F.lit(20))).alias("v")))
 
 # ---- set operations over packets; extras that the reference leaves to its filter language ---------------------------
 
@@ -361,28 +361,56 @@ def _(p):
 
 
 def baseband_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with a baseband frame of two GSE packets around each document's first bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(F.col("text").cast("binary"), 1, 60).alias("b"))
-    gse = F.concat(F.hex(F.length("b") + 2 + 0xC000), F.hex("b"))
-    body = F.concat(gse, gse)
+    """Each document's whole text in GSE packets of at most 4,095 bytes, two to a baseband frame, a frame to a line; lines
+    of every fiftieth document are malformed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(bytearray())).alias("b"))
+    last = F.greatest(F.lit(0), F.ceil(F.length("b") / 8186) - 1).cast("int")
+    parts = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), last)).alias("f"))
+    part = lambda k: F.substring(F.col("b"), F.col("f") * 8186 + 4093 * k + 1, F.lit(4093))
+    gse = lambda x: F.concat(F.lpad(F.hex(F.length(x) + 2 + 0xC000), 4, "0"), F.hex(x))
+    body = F.concat(gse(part(0)), F.when(F.length(part(1)) > 0, gse(part(1))).otherwise(""))
     frame = F.concat(F.lit("72000000"), F.lpad(F.hex(F.length(body) * 4), 4, "0"), F.lit("47000000"), body)
-    return docs.select("doc_id", F.concat(F.lit('{"timestamp":'), F.col("doc_id").cast("string"), F.lit('.25,"bbframe":"'), F.regexp_replace(F.base64(F.unhex(frame)), "[\r\n]", ""), F.when(F.col("doc_id") % 50 == 0, '"}').otherwise('","metadata":{"ma_hdr":1}}')).alias("value"))
+    return parts.select("doc_id", F.concat(F.lit('{"timestamp":'), F.col("doc_id").cast("string"), F.lit("."), (F.col("f") + 100).cast("string"), F.lit(',"bbframe":"'), F.regexp_replace(F.base64(F.unhex(frame)), "[\r\n]", ""), F.when(F.col("doc_id") % 50 == 0, '"}').otherwise('","metadata":{"ma_hdr":1}}')).alias("value"))
 
 
-@query("gse_walk", ", d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE doc_id % 50 <> 0) SELECT doc_id || '.25' AS timestamp, i AS \"index\", i * (least(n, 60) + 2) AS start, least(n, 60) + 2 AS size FROM d, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(i)", baseband_lines)
+_FRAMES_SQL = ", d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n FROM documents), f AS (SELECT doc_id, n, unnest(range(0, greatest(1, (n + 8185) // 8186))) AS f FROM d)"
+
+
+@query("gse_walk", _FRAMES_SQL + ", p AS (SELECT *, unnest([0, 1]) AS i, least(8186, n - f * 8186) AS m FROM f WHERE doc_id % 50 <> 0) SELECT doc_id || '.' || (f + 100) AS timestamp, CAST(i AS BIGINT) AS \"index\", CAST(i * 4095 AS BIGINT) AS start, CAST(CASE i WHEN 0 THEN least(m, 4093) ELSE m - 4093 END + 2 AS BIGINT) AS size FROM p WHERE i = 0 OR m > 4093", baseband_lines)
 def _(p):
     return gse_packets(parse_lines(p)).select("timestamp", "index", "start", "size")
 
 
-@query("bbframe_report", "SELECT count(*) AS lines, count(*) FILTER (doc_id % 50 <> 0) AS modelled, count(*) FILTER (doc_id % 50 = 0) AS rejected_shape, CAST(0 AS BIGINT) AS rejected_timestamp, CAST(0 AS BIGINT) AS rejected_base64 FROM documents", baseband_lines)
+@query("bbframe_report", _FRAMES_SQL + " SELECT count(*) AS lines, count(*) FILTER (doc_id % 50 <> 0) AS modelled, count(*) FILTER (doc_id % 50 = 0) AS rejected_shape, CAST(0 AS BIGINT) AS rejected_timestamp, CAST(0 AS BIGINT) AS rejected_base64 FROM f", baseband_lines)
 def _(p):
     return validation_report(parse_lines(p)).drop("frame_bytes")
 
 
-@query("find_ipv4", "SELECT packet_no, CASE WHEN ip4_src IS NOT NULL THEN CAST(5 AS BIGINT) END AS v FROM packets WHERE vlan IS NULL AND v6_src IS NULL", framed)
+def proven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame behind a shift of 0 to 2 bytes and without its Ethernet addresses: by packet number with the header's
+    checksum filled in, then also with padding behind, then also with another version nibble; else proven by length."""
+    p = D.dissect(framed(spark, sf_dir)).withColumns({"kind": F.col("packet_no") % 4, "l3": F.when(F.col("vlan").isNull(), 15).otherwise(19)})
+    head = F.substring(F.col("frame"), F.col("l3"), F.lit(20))
+    sealed = F.concat(F.substring(head, 1, 10), F.unhex(F.lpad(F.hex(S.ip_checksum(head)), 4, "0")), F.substring(head, 13, 8))
+    turned = F.concat(F.lit(bytearray([0x75])), F.substring(sealed, 2, 19))
+    made = F.when(F.col("kind") == 0, head).when(F.col("kind") == 3, turned).otherwise(sealed)
+    v4 = F.concat(F.substring(F.col("frame"), F.lit(13), F.col("l3") - 13), made, F.substring(F.col("frame"), F.col("l3") + 20, F.length("frame")), F.when(F.col("kind") >= 2, F.lit(bytearray(7))).otherwise(F.lit(bytearray())))
+    body = F.when(F.col("ip4_src").isNotNull(), v4).otherwise(F.substring(F.col("frame"), F.lit(13), F.length("frame")))
+    return p.select("packet_no", F.explode(F.array(F.concat(F.substring(F.lit(bytearray([0xFF, 0xFF])), F.lit(1), (F.col("packet_no") % 3).cast("int")), body))).alias("body"))
+
+
+@query("find_ipv4", "SELECT packet_no, CASE WHEN ip4_src IS NOT NULL THEN packet_no % 3 + CASE WHEN vlan IS NULL THEN 2 ELSE 6 END END AS v FROM packets", proven)
+def _(p):
+    return p.select("packet_no", find_ipv4(F.col("body")).alias("v"))
+
+
+@query("fn_l4_checksum", """, f AS (SELECT packet_no, ip_proto, sport, dport, coalesce(tcp_flags, 0) AS fl, CASE WHEN ip_proto = 6 THEN 25 ELSE 13 END AS n, ip4_src, ip4_dst FROM packets WHERE ip4_src IS NOT NULL AND sport IS NOT NULL),
+    t AS (SELECT packet_no, ip4_src // 65536 + ip4_src % 65536 + ip4_dst // 65536 + ip4_dst % 65536 + ip_proto + n + sport + dport + 26725 + 27756 + 28416 + CASE WHEN ip_proto = 6 THEN 1 + 20480 + fl + 8192 ELSE 13 END AS x FROM f),
+    y AS (SELECT packet_no, x % 65536 + x // 65536 AS s FROM t) SELECT packet_no, 65535 - (s % 65536 + s // 65536) AS v FROM y""", framed)
 def _(p):
-    shifted = p.where("conv(hex(substring(frame, 13, 2)), 16, 10) IN (2048, 2054)")
-    return shifted.select("packet_no", find_ipv4(F.substring("frame", 10, 2000)).alias("v"))
+    d = D.dissect(p).where("ip4_src IS NOT NULL AND sport IS NOT NULL")
+    l3 = F.when(F.col("vlan").isNull(), 15).otherwise(19)
+    return d.select("packet_no", S.l4_checksum(F.substring(F.col("frame"), l3 + 12, F.lit(8)), F.col("ip_proto"), F.substring(F.col("frame"), l3 + 20, F.length("frame"))).alias("v"))
 
 
 @query("json_lines", "SELECT packet_no, '{\"ts_nanos\":' || ts_nanos || ',\"len\":' || origlen || ',\"vlan\":' || coalesce(CAST(vlan AS VARCHAR), 'null') || '}' AS value FROM packets")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import canonical_timestamp, uint_be
+from netloom.functions.scalars import canonical_timestamp, ip_checksum, uint_be
 
 LINE = r'^\{"timestamp":([^,]*),"bbframe":"([^"]*)","metadata":(\{.*\})\}$'
 
@@ -43,10 +43,11 @@ def bb_header(frame: Column) -> Column:
 
 def gse_packets(rows: DataFrame, frame: str = "frame", keep: tuple[str, ...] = ("timestamp",), most: int = 4096) -> DataFrame:
     """(keep, index, start, size, packet): the packets of each frame's data field. A header is 16 bits whose low 12
-    count the bytes with the header; a length of 0, below 2 or past the end stops the walk."""
+    count the bytes with the header; a length of 0, below 2 or past the end stops the walk. The field stands behind a
+    generator, so that the walk doesn't decode the line again at each step."""
     data = F.col(frame)
     field = F.when(bb_header(data).isNotNull(), F.substring(data, F.lit(11), (uint_be(data, 4, 2) / 8).cast("int")))
-    body = rows.select(*keep, field.alias("body")).where("body IS NOT NULL AND length(body) >= 2")
+    body = rows.select(*keep, F.explode(F.array(field)).alias("body")).where("body IS NOT NULL AND length(body) >= 2")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("found"), F.lit(True).alias("goes"))
 
     def step(acc, _):
@@ -60,14 +61,27 @@ def gse_packets(rows: DataFrame, frame: str = "frame", keep: tuple[str, ...] = (
     return each.select(*keep, "index", "p.start", "p.size", F.substring(F.col("body"), F.col("p.start") + 1, F.col("p.size")).alias("packet"))
 
 
+def looks_like_ipv4(body: Column, at: Column) -> tuple[Column, Column]:
+    """(whether a header of 20 to 60 bytes with a fitting total length starts there, of version 4 or proven by its
+    checksum; whether the checksum proves it, as it is or with the version nibble set to 4)"""
+    first = uint_be(body, at, 1)
+    size = (first.bitwiseAND(15) * 4).cast("int")
+    header = F.substring(body, at + 1, size)
+    checksum = uint_be(body, at + 10, 2)
+    as_v4 = F.concat(F.unhex(F.lpad(F.hex(first.bitwiseAND(15) + 0x40), 2, "0")), F.substring(header, F.lit(2), F.greatest(size - 1, F.lit(0))))
+    fits = (size >= 20) & (at + size <= F.length(body)) & (uint_be(body, at + 2, 2) >= size)
+    sealed = F.when(fits, (ip_checksum(header) == checksum) | (ip_checksum(as_v4) == checksum)).otherwise(False)
+    return fits & ((F.shiftright(first, 4) == 4) | sealed), sealed
+
+
 def find_ipv4(body: Column, most: int = 12) -> Column:
-    """The first offset up to `most` where an IPv4 header proves itself: version 4, a header of 20 to 60 bytes, and a
-    total length that ends where the body does; null if there is none."""
+    """The first offset up to `most` where an IPv4 header proves itself: it looks like one, its total length lies in the
+    body, and it ends where the body does or has the right checksum; null if there is none."""
 
     def proves(at):
-        first = uint_be(body, at, 1)
-        size = first.bitwiseAND(15) * 4
+        looks, sealed = looks_like_ipv4(body, at)
         total = uint_be(body, at + 2, 2)
-        return (F.shiftright(first, 4) == 4) & (size >= 20) & (total >= size) & (at + total == F.length(body))
+        inside = (at + total <= F.length(body)) & (total >= 20)  # few offsets pass, and only those are summed up
+        return F.when(inside, looks & ((at + total == F.length(body)) | sealed))
 
     return F.get(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda at: F.coalesce(proves(at), F.lit(False))), F.lit(0))

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from netloom.schema import GROUP, PACKETS
@@ -164,6 +165,21 @@ def boundaries(path: str, every: int = GROUP) -> Iterator[tuple[int, int, int, l
                 start, first, held = walk.at, n, walk.state.dump()
         if n > first or not n:
             yield first, start, walk.at, held
+    return n
+
+
+def numbered(files: list[str], every: int = GROUP) -> Iterator[tuple[str, int, int, int, list]]:
+    """(file, first packet number, start, end, state) of the runs of several files; numbers go on from file to file."""
+    base = 0
+    for file in files:
+        found = boundaries(file, every)
+        while True:
+            try:
+                first, start, end, state = next(found)
+            except StopIteration as done:
+                base += done.value
+                break
+            yield file, base + first, start, end, state
 
 
 ARROW = pa.schema([("file", pa.string()), ("packet_no", pa.int64()), ("ts_nanos", pa.int64()), ("record_offset", pa.int64()), ("data_offset", pa.int64()), ("caplen", pa.int64()), ("origlen", pa.int64()), ("linktype", pa.int32()), ("frame", pa.binary())])
@@ -208,13 +224,10 @@ class PcapReader(DataSourceReader):
         self.path, self.every = options["path"], int(options.get("records_per_partition", GROUP))
 
     def partitions(self) -> list[Piece]:
-        out = []
-        for file in _files(self.path):
-            if os.path.getsize(file) < 32 << 20 and self.every == GROUP:
-                out.append(Piece(file, 0, 0, None, None))
-            else:
-                out += [Piece(file, first, start, end, state) for first, start, end, state in boundaries(file, self.every)]
-        return out
+        files = _files(self.path)
+        if len(files) == 1 and os.path.getsize(files[0]) < 32 << 20 and self.every == GROUP:
+            return [Piece(files[0], 0, 0, None, None)]
+        return [Piece(*x) for x in numbered(files, self.every)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         yield from _read_piece(partition)
@@ -252,11 +265,12 @@ class PcapTail(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         old, new = json.loads(start["files"]), json.loads(end["files"])
         self.now = {**new, **{k: v for k, v in self.now.items() if k in new and v[0] >= new[k][0]}}
-        out = []
+        out, first = [], sum(n for _, n, _ in old.values())  # packets are numbered as they come, over all files
         for file, (stop, n, _) in new.items():
-            at, first, state = old.get(file) or (None, 0, None)
+            at, before, state = old.get(file) or (None, 0, None)
             if at is None or at < stop:
                 out.append(Piece(file, first, at or 0, stop, state))
+                first += n - before
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
@@ -299,7 +313,13 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 yield from batches(name, Walk(f, state, at), 0)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, PACKETS)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(run, PACKETS)
+    if len(files.inputFiles()) < 2:
+        return rows
+    sizes = rows.groupBy("file").agg(F.count("*").alias("__n"))  # one row per file
+    starts = sizes.select("file", (F.sum("__n").over(Window.orderBy("file")) - F.col("__n")).alias("__start"))
+    return rows.join(starts, "file").withColumn("packet_no", F.col("packet_no") + F.col("__start")).select(*PACKETS.fieldNames())
 
 
 class PcapWriter:
