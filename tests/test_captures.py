@@ -35,6 +35,22 @@ def test_known_counts(packets, text, n):
     assert packets.where(packet_filter(text)).count() == n
 
 
+def test_numbers_go_on_over_several_files(spark, tmp_path):
+    from netloom.operators import flow_model as W
+
+    for k in range(2):
+        (tmp_path / f"{k}.pcap").write_bytes(B.pcap(B.standard()))
+    register(spark)
+    rows = dissect(spark.read.format("pcap").load(str(tmp_path)))
+    again = read_captures(spark, str(tmp_path / "*.pcap"))
+    for df in (rows, again):
+        assert sorted(r.packet_no for r in df.select("packet_no").collect()) == list(range(160))
+    assert [r.packets for r in A.row_groups(rows, 80).orderBy("group_no").collect()] == [80, 80]
+    assert A.page(rows, 75, 10).count() == 10
+    assert W.ts_delta(rows, 80).where("packet_no IN (0, 80)").select("ts_delta").distinct().count() == 1
+    assert sorted(r.flow_id for r in W.flow_ids(rows).collect()) == list(range(rows.select(*W.FLOW).distinct().count()))
+
+
 def test_statistics(packets):
     macs = {r.m: r for r in A.mac_stats(packets).withColumn("m", fmt_mac(F.col("mac"))).collect()}
     assert macs["aa:aa:aa:00:00:01"].packets == 70 and macs["aa:aa:aa:00:00:01"].protos == "icmp tcp udp"
