@@ -5,9 +5,10 @@ forests of tiles. A radius can't promise every pair of similarity 0.8, and admit
 verified shingle by shingle, and what the radius misses comes from counting. A text with a partner shares at least 4/5
 of its distinct shingles with it, so a text of which fewer occur in a second text (by a count-min sketch, which loses
 none) has none and drops out; this is done twice, the second time among the texts that are left. Of those, the shingles
-are put in one order and a text is posted under its first n - ceil(4n/5) + 1: two texts at the bound meet there. Members
-of a posting that the verified links leave in different components are compared with one of them first, and then all
-pairs that still lie apart, so a large group never costs the square of its size.
+are put in one order, the rarest first by the sketch's levels, and a text is posted under its first n - ceil(4n/5) + 1:
+two texts at the bound meet there, first at a shingle after which both still hold enough of them to reach the bound, so
+a passage that many otherwise different texts share brings none of them together. Members of a posting that the verified
+links leave in different components are compared with one of them first, and then all pairs that still lie apart.
 
 Texts without a candidate, and those whose hash occurs once, stay without ever being shuffled.
 """
@@ -80,9 +81,9 @@ def _twice(numbers: np.ndarray) -> np.ndarray:
 
 
 def _may_repeat(rows: DataFrame, size: int, posted: bool, column: str, only=None) -> DataFrame:
-    """rows with near, whether a text may have a partner; posted: only those, as (th, id, text, n, fp and the tokens that
-    they are posted under). only: which rows of a block there are, by __th and __first."""
-    sketch = rows.sparkSession.sparkContext.broadcast(count_min(rows, lambda texts: _hashed(texts, size)[0], 1 / 6, BLOCK, column, 1, only, ("__th", "__first") if only else ()))
+    """rows with near, whether a text may have a partner; posted: only those, as (th, id, text, n, alone: how many of its
+    shingles no other text has, fp and the tokens, rarest first, that they are posted under). only: which rows of a block there are, by __th and __first."""
+    sketch = rows.sparkSession.sparkContext.broadcast(count_min(rows, lambda texts: _hashed(texts, size)[0], 1 / 6, BLOCK, column, 1, only, ("__th", "__first") if only else (), posted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in blocks(batches, BLOCK, column):
@@ -96,19 +97,19 @@ def _may_repeat(rows: DataFrame, size: int, posted: bool, column: str, only=None
             if not posted:
                 yield from own.append_column("__near", pa.array(near)).to_batches(1024)
             elif len(some := np.flatnonzero(near)):
-                order = np.lexsort((key, again, doc))  # those of one text alone first: they meet nothing
+                order = np.lexsort((key, sketch.value.level(key), again, doc))  # those of one text alone first: they meet nothing
                 key, again = key[order].view(np.int64), again[order]
-                ends = np.cumsum(n)
+                ends, alone = np.cumsum(n), n - np.bincount(doc, again, len(texts)).astype(np.int64)
                 tokens = []
                 for k in some:
                     at = slice(ends[k] - n[k], ends[k] - need[k] + 1)
                     tokens.append(key[at][again[at]])
                 fp = fingerprints_of([texts[k] for k in some.tolist()], size, 42).view(np.int64)
-                held = own.take(pa.array(some)).append_column("n", pa.array(n[some], pa.int64())).append_column("fp", pa.array(fp)).append_column("tokens", pa.array(tokens, pa.list_(pa.int64())))
+                held = own.take(pa.array(some)).append_column("n", pa.array(n[some], pa.int64())).append_column("alone", pa.array(alone[some], pa.int64())).append_column("fp", pa.array(fp)).append_column("tokens", pa.array(tokens, pa.list_(pa.int64())))
                 yield from held.to_batches(1024)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, kinds + (", n long, fp long, tokens array<long>" if posted else ", __near boolean"))
+    return rows.mapInArrow(run, kinds + (", n long, alone long, fp long, tokens array<long>" if posted else ", __near boolean"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -137,8 +138,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def _close(a: str, b: str) -> F.Column:
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+def _reach(a: str, b: str) -> F.Column:
+    """Whether texts that share none of the shingles before may be alike: `rest` is how many each has from this one on.
+    Two that are alike pass where they first meet."""
+    return F.least(f"{a}rest", f"{b}rest") * (NUM + DEN) >= (F.col(f"{a}n") + F.col(f"{b}n")) * NUM
 
 
 def _pair(a: str, b: str) -> tuple[F.Column, F.Column]:
@@ -157,20 +160,21 @@ def _proposed(found: DataFrame) -> DataFrame:
 def _roots(found: DataFrame, size: int) -> DataFrame:
     """(node, root) of all texts but the roots, by the links between candidates."""
     texts = found.select("th", "text")
-    posts = stored(found.select(F.explode("tokens").alias("token"), F.col("th").alias("node"), "n"), "posts")
+    posts = found.select(F.posexplode("tokens").alias("place", "token"), F.col("th").alias("node"), "n", "alone")
+    posts = stored(posts.select("token", "node", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("rest")), "posts")
     edges = stored(_verified(_proposed(found), texts, size), "edges")
     roots = components(edges, "links")
     for k in range(STARS + 1):
-        now = stored(posts.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("label")), "labelled")
+        now = stored(posts.join(roots, "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("label")), "labelled")
         chance = F.xxhash64("node", F.lit(k), F.pmod("token", F.lit(4)))
-        one = now.groupBy("token").agg(F.min(F.struct(chance.alias("chance"), F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("label").alias("one_label"))).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        one = one.where("lo <> hi").select("token", "p.one", "p.one_n", "p.one_label")
+        one = now.groupBy("token").agg(F.min(F.struct(chance.alias("chance"), F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("rest").alias("one_rest"), F.col("label").alias("one_label"))).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        one = one.where("lo <> hi").select("token", "p.one", "p.one_n", "p.one_rest", "p.one_label")
         apart = now.join(one, "token").where("label <> one_label")
         if k < STARS:
-            pairs = apart.where(_close("n", "one_n")).select(*_pair("node", "one"))
+            pairs = apart.where(_reach("", "one_")).select(*_pair("node", "one"))
         else:
-            other = now.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-            both = apart.join(other, "token").where("label <> other_label AND (other_label = one_label OR node < other)").where(_close("n", "other_n"))
+            other = now.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("rest").alias("other_rest"), F.col("label").alias("other_label"))
+            both = apart.join(other, "token").where("label <> other_label AND (other_label = one_label OR node < other)").where(_reach("", "other_"))
             pairs = both.select(*_pair("node", "other"))
         linked = _verified(pairs.distinct(), texts, size)
         edges = stored(edges.unionByName(linked), "edges")

@@ -21,6 +21,8 @@ NO_ID = np.iinfo(np.int64).max
 #: Cells of each of the sketch's two rows, one bit each when merged: 2 x 64 MB at most. A fuller sketch lets more unrepeated windows pass; it never loses one.
 MAX_WIDTH, MIN_WIDTH = 1 << 29, 1 << 16
 DEPTH = 2
+#: Cells of a sketch's levels, one byte each: 8 MB. Of a wider sketch, neighbours share a level, the highest of theirs.
+LEVEL_CELLS = 1 << 23
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,10 +36,14 @@ def cells(keys: np.ndarray, width: int) -> Iterator[np.ndarray]:
 
 
 class Sketch:
-    """Cells that were counted twice or more, as bits."""
+    """Cells that were counted twice or more, as bits; levels: the binary logarithm of the counts, to order keys by rarity."""
 
-    def __init__(self, width: int, rows: list[np.ndarray]):
-        self.width, self.rows = width, rows
+    def __init__(self, width: int, rows: list[np.ndarray], levels: np.ndarray | None = None, fold: int = 1):
+        self.width, self.rows, self.levels, self.fold = width, rows, levels, fold
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """About the logarithm of a key's count: the same number wherever the key is met, which is all an order needs."""
+        return self.levels[next(cells(keys, self.width)) // np.uint64(self.fold)]
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         """True wherever a key may have been counted twice or more; never False where it was."""
@@ -57,10 +63,10 @@ def _ids(own: pa.Table) -> np.ndarray:
     return own.column("id").fill_null(int(NO_ID)).to_numpy()
 
 
-def count_min(rows: DataFrame, keys: Callable, per_byte: float, limit: int, column: str = "text", fill: float = 4, only: Callable[[pa.Table], np.ndarray] | None = None, more: tuple[str, ...] = ()) -> Sketch:
+def count_min(rows: DataFrame, keys: Callable, per_byte: float, limit: int, column: str = "text", fill: float = 4, only: Callable[[pa.Table], np.ndarray] | None = None, more: tuple[str, ...] = (), levels: bool = False) -> Sketch:
     """Merge the sketches of all tasks. keys: of the texts of a block (of the numbers, if the column holds them), each
     as often as it counts (at most twice each). per_byte: expected keys per byte, and fill: cells per key, for the width
-    alone. only: which rows of a block count, by column and the columns `more`.
+    alone. only: which rows of a block count, by column and the columns `more`. levels: keep those of the counts, too.
 
     Tasks send their cells in sorted runs, dealt by cell; saturated sums are made where they meet, and only the bits
     of cells counted twice or more, of the width's bounded size, come to the driver.
@@ -74,7 +80,10 @@ def count_min(rows: DataFrame, keys: Callable, per_byte: float, limit: int, colu
     while width < MAX_WIDTH and width < fill * per_byte * size:
         width *= 2
     slices = min(n, 256)
-    span = -(-width // slices // 8) * 8
+    fold = max(1, width // LEVEL_CELLS)
+    unit = max(8, fold)
+    span = -(-width // slices // unit) * unit
+    kind, top = (np.uint16, (1 << 16) - 1) if levels else (np.uint8, 2)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in blocks(batches, limit, column):
@@ -92,20 +101,22 @@ def count_min(rows: DataFrame, keys: Callable, per_byte: float, limit: int, colu
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 cell = np.cumsum(unpack(blob)[0], dtype=np.int64)
-                total = sums.setdefault(part, np.zeros(span, np.uint8))
-                again = cell[1:][cell[1:] == cell[:-1]]
-                once = np.unique(cell)
-                total[once] = np.minimum(total[once] + 1, 2)
-                total[again] = 2
+                total = sums.setdefault(part, np.zeros(span, kind))
+                found, times = np.unique(cell, return_counts=True)
+                total[found] = np.minimum(total[found] + times, top)
         for part, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= 2, bitorder="little").tobytes()], pa.binary())], names=["part", "blob"])
+            high = np.log2(np.maximum(total, 1)).astype(np.uint8).reshape(-1, fold).max(axis=1) if levels and part % DEPTH == 0 else None
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= 2, bitorder="little").tobytes()], pa.binary()), pa.array([None if high is None else pack(high)], pa.binary())], names=["part", "blob", "high"])
 
-    merged = held.mapInArrow(send, "part int, blob binary").repartition(n, "part").mapInArrow(merge, "part int, blob binary")
+    merged = held.mapInArrow(send, "part int, blob binary").repartition(n, "part").mapInArrow(merge, "part int, blob binary, high binary")
     bits = [np.zeros(slices * span // 8, np.uint8) for _ in range(DEPTH)]
+    high = np.zeros(slices * span // fold if levels else 0, np.uint8)
     for r in merged.toLocalIterator(prefetchPartitions=True):
         p, row = divmod(r.part, DEPTH)
         bits[row][p * span // 8 : (p + 1) * span // 8] = np.frombuffer(r.blob, np.uint8)
-    return Sketch(width, bits)
+        if r.high is not None:
+            high[p * span // fold : (p + 1) * span // fold] = unpack(r.high)[0]
+    return Sketch(width, bits, high if levels else None, fold)
 
 
 Emit = Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, list[np.ndarray], dict[int, bytes]]]
