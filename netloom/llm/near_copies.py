@@ -161,13 +161,14 @@ def _roots(found: DataFrame, size: int) -> DataFrame:
     """(node, root) of all texts but the roots, by the links between candidates."""
     texts = found.select("th", "text")
     posts = found.select(F.posexplode("tokens").alias("place", "token"), F.col("th").alias("node"), "n", "alone")
-    posts = stored(posts.select("token", "node", "n", (F.col("n") - F.col("alone") - F.col("place")).alias("rest")), "posts")
+    posts = stored(posts.select("token", "node", "n", "alone", (F.col("n") - F.col("alone") - F.col("place")).alias("rest")), "posts")
     edges = stored(_verified(_proposed(found), texts, size), "edges")
     roots = components(edges, "links")
     for k in range(STARS + 1):
-        now = stored(posts.join(roots, "node", "left").select("token", "node", "n", "rest", F.coalesce("root", "node").alias("label")), "labelled")
+        now = stored(posts.join(roots, "node", "left").select("token", "node", "n", "alone", "rest", F.coalesce("root", "node").alias("label")), "labelled")
+        # an original's shingles all recur in its copies, so the text with the fewest of its own is likest to the others
         chance = F.xxhash64("node", F.lit(k), F.pmod("token", F.lit(4)))
-        one = now.groupBy("token").agg(F.min(F.struct(chance.alias("chance"), F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("rest").alias("one_rest"), F.col("label").alias("one_label"))).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        one = now.groupBy("token").agg(F.min(F.struct("alone", chance.alias("chance"), F.col("node").alias("one"), F.col("n").alias("one_n"), F.col("rest").alias("one_rest"), F.col("label").alias("one_label"))).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         one = one.where("lo <> hi").select("token", "p.one", "p.one_n", "p.one_rest", "p.one_label")
         apart = now.join(one, "token").where("label <> one_label")
         if k < STARS:
