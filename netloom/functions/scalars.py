@@ -20,11 +20,10 @@ def fmt_ip4(ip: Column) -> Column:
 def fmt_ip6(ip: Column) -> Column:
     """As RFC 5952: lower case, no leading zeros, the first of the longest runs of two or more zero groups as ::"""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.hex(ip)), "(.{4})(?!$)", "$1:"), "(^|:)0{1,3}(?=[0-9a-f])", "$1")
-    out = plain
-    for n in range(2, 9):  # the longest run is looked for last and so wins
-        run = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)"
-        out = F.when(plain.rlike(run), F.regexp_replace(plain, run, "$1::")).otherwise(out)
-    return F.when(ip.isNotNull(), out)
+    runs = F.regexp_extract_all(plain, F.lit("(?<![0-9a-f])0(?::0)+(?![0-9a-f])"), F.lit(0))
+    longest = F.array_max(runs)  # runs differ in length alone, so the greatest text is the longest
+    short = F.regexp_replace(plain, F.concat(F.lit("^(.*?)(?:^|:)"), longest, F.lit("(?::|$)")), F.lit("$1::"))
+    return F.when(ip.isNotNull(), F.coalesce(short, plain))
 
 
 def fmt_addr(ip4: Column, ip6: Column) -> Column:

@@ -13,6 +13,7 @@ from netloom.functions.names import IP_PROTOCOLS, service_name
 from netloom.functions.scalars import fmt_addr, fmt_mac
 from netloom.operators.histograms import gap_filled, multi_series, with_rates
 
+ADDRESSED = "(ip4_src IS NOT NULL OR ip6_src IS NOT NULL) AND (ip4_dst IS NOT NULL OR ip6_dst IS NOT NULL)"  # of raw columns, so it reaches the scan
 NAMED = (1, 2, 6, 17, 41, 47, 50, 51, 58, 89, 132)  # protocols shown by name; others by number
 HISTOGRAM = {
     "tcp": "proto == tcp", "udp": "proto == udp", "icmp": "proto == icmp", "icmpv6": "proto == icmpv6", "arp": "ethertype == 0x806 && !(proto in {tcp, udp, icmp, icmpv6})",
@@ -49,15 +50,11 @@ def listed(values: Column, cap: int | None = None) -> Column:
     return F.concat(F.array_join(F.slice(values, 1, cap), " "), F.when(F.size(values) > cap, " ...").otherwise(""))
 
 
-def first_listed(values: Column, cap: int) -> Column:
-    return F.array_join(F.slice(F.array_sort(values), 1, cap), " ")
-
-
 def _roles(*roles: dict[str, Column]) -> Column:
     return F.inline(F.array(*(F.struct(*(c.alias(n) for n, c in r.items())) for r in roles)))
 
 
-def members(each: DataFrame, keys: list[str], item: str, count: str, shown: str | None = None, cap: int = 0) -> DataFrame:
+def members(each: DataFrame, keys: list[str], item: str, count: str, shown: str | None = None, cap: int = 0, more: str = " ...") -> DataFrame:
     """The number of distinct items of each key and, as text, the first `cap` of them; no set is gathered whole."""
     distinct = each.where(F.col(item).isNotNull()).select(*keys, item).distinct()
     out = distinct.groupBy(*keys).agg(F.count("*").cast("int").alias(count))
@@ -65,8 +62,8 @@ def members(each: DataFrame, keys: list[str], item: str, count: str, shown: str
         return out
     first = distinct.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(item))).where(F.col("place") <= cap)
     lists = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(item)), " ").alias(shown))
-    more = F.when(F.col(count) > cap, " ...").otherwise("")
-    return out.join(lists, keys).withColumn(shown, F.concat(F.col(shown), more))
+    rest = F.when(F.col(count) > cap, more).otherwise("")
+    return out.join(lists, keys).withColumn(shown, F.concat(F.col(shown), rest))
 
 
 def histogram(p: DataFrame, interval_ns: int) -> DataFrame:
@@ -105,7 +102,7 @@ def top_keys(counts: DataFrame, keys: list[str], item: str, n: str, k: int, out:
 
 def ips(p: DataFrame) -> DataFrame:
     """The lower port is the service; on a tie the destination serves."""
-    r = report_rows(p).where("sip IS NOT NULL AND dip IS NOT NULL")
+    r = report_rows(p.where(ADDRESSED))
     served_by_dst = F.col("dport") <= F.col("sport")
     port = F.concat("pp", F.lit("/"), F.least("sport", "dport").cast("string"))
     each = r.select("origlen", "ts_nanos", "l4", F.when(F.col("pp").isNotNull(), port).alias("port"), _roles(
@@ -131,7 +128,7 @@ def ports(p: DataFrame) -> DataFrame:
 
 def conversations(p: DataFrame) -> DataFrame:
     """Address pairs ordered as texts."""
-    r = report_rows(p).where("sip IS NOT NULL AND dip IS NOT NULL").withColumn("ab", F.col("sip") <= F.col("dip")).withColumn("ba", ~F.col("ab"))
+    r = report_rows(p.where(ADDRESSED)).withColumn("ab", F.col("sip") <= F.col("dip")).withColumn("ba", ~F.col("ab"))
     port = F.when(F.col("pp").isNotNull(), F.concat("pp", F.lit("/"), F.least("sport", "dport").cast("string")))
     each, keys = r.withColumns({"ip_a": F.least("sip", "dip"), "ip_b": F.greatest("sip", "dip"), "port": port}), ["ip_a", "ip_b"]
     found = each.groupBy(*keys).agg(*_sums(), *_sided("ab", "a_to_b"), *_sided("ba", "b_to_a"), listed(F.collect_set("l4")).alias("protocols"), *_seen())
@@ -142,7 +139,7 @@ def conversations(p: DataFrame) -> DataFrame:
 def flows(p: DataFrame) -> DataFrame:
     """Both directions of a connection as one row, ends ordered by (address text, port), with its state."""
     a, b = F.struct(F.col("sip").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("dip").alias("ip"), F.col("dport").alias("port"))
-    r = report_rows(p).where("pp IS NOT NULL AND sip IS NOT NULL AND dip IS NOT NULL").withColumns({"a": F.least(a, b), "b": F.greatest(a, b), "ab": a <= b, "ba": ~(a <= b)})
+    r = report_rows(p.where(ADDRESSED)).where("pp IS NOT NULL").withColumns({"a": F.least(a, b), "b": F.greatest(a, b), "ab": a <= b, "ba": ~(a <= b)})
     bit = lambda n: F.coalesce(F.col("tcp_flags").bitwiseAND(n) != 0, F.lit(False)) & (F.col("pp") == "tcp")
     found = r.groupBy("pp", "a", "b").agg(*_sums(), *_sided("ab", "a_to_b"), *_sided("ba", "b_to_a"), F.count_if(bit(2) & ~bit(16)).alias("syn"), F.count_if(bit(2) & bit(16)).alias("syn_ack"), F.count_if(bit(4)).alias("rst"), *_seen())
     one_way = (F.col("a_to_b_packets") == 0) | (F.col("b_to_a_packets") == 0)
@@ -153,30 +150,40 @@ def flows(p: DataFrame) -> DataFrame:
     return found.withColumns(names | {"service": service, "duration_s": F.round((F.col("last_ts") - F.col("first_ts")) / F.lit(1e9), 3)}).drop("pp", "a", "b")
 
 
+def _server() -> Column:
+    return F.when(F.coalesce(F.col("dport"), F.lit(0)) != 0, F.concat("dip", F.lit(":"), F.col("dport").cast("string"))).otherwise(F.col("dip"))
+
+
+def _named(each: DataFrame, keys: list[str], *counts: Column) -> DataFrame:
+    """Counts, distinct clients (ten shown) and servers (five shown) of each key; absent keys group as one."""
+    same = F.struct(*keys)
+    each = each.withColumn("key", same)
+    out = each.groupBy("key").agg(*counts, *_seen())
+    for item, n, shown, cap in (("client", "client_count", "clients", 10), ("server", "n_servers", "servers", 5)):
+        out = out.join(members(each, ["key"], item, n, shown, cap, more=""), "key", "left").fillna({n: 0, shown: ""})
+    order = [c for c in out.columns if c not in ("key", "n_servers", "client_count", "clients", "servers", "first_ts", "last_ts")]
+    return out.select(*(F.col("key")[k].alias(k) for k in keys), *order, "client_count", "clients", "servers", "first_ts", "last_ts")
+
+
 def dns(rows: DataFrame) -> DataFrame:
     """rows: qname, response boolean, sip, dip, ts_nanos; the roles swap on a response."""
     client, server = (F.when(F.col("response"), x).otherwise(y) for x, y in ((F.col("dip"), F.col("sip")), (F.col("sip"), F.col("dip"))))
-    found = rows.groupBy(F.col("qname").alias("name")).agg(F.count("*").alias("queries_and_responses"), F.count_if("response").alias("responses"), F.collect_set(client).alias("c"), F.collect_set(server).alias("s"), *_seen())
-    return found.select("name", "queries_and_responses", "responses", F.size("c").alias("client_count"), first_listed(F.col("c"), 10).alias("clients"), first_listed(F.col("s"), 5).alias("servers"), "first_ts", "last_ts")
-
-
-def _server() -> Column:
-    return F.when(F.coalesce(F.col("dport"), F.lit(0)) != 0, F.concat("dip", F.lit(":"), F.col("dport").cast("string"))).otherwise(F.col("dip"))
+    each = rows.withColumns({"client": client, "server": server}).withColumnRenamed("qname", "name")
+    return _named(each, ["name"], F.count("*").alias("queries_and_responses"), F.count_if("response").alias("responses"))
 
 
-def _named(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
-    found = rows.groupBy(*keys).agg(F.count("*").alias(count), F.collect_set("sip").alias("c"), F.collect_set(_server()).alias("s"), *_seen())
-    return found.select(*keys, count, F.size("c").alias("client_count"), first_listed(F.col("c"), 10).alias("clients"), first_listed(F.col("s"), 5).alias("servers"), "first_ts", "last_ts")
+def _asked(rows: DataFrame, keys: list[str], count: str) -> DataFrame:
+    return _named(rows.withColumns({"client": F.col("sip"), "server": _server()}), keys, F.count("*").alias(count))
 
 
 def tls_sni(rows: DataFrame) -> DataFrame:
     """rows: server_name, sip, dip, dport, ts_nanos."""
-    return _named(rows.where("server_name <> ''"), ["server_name"], "client_hellos")
+    return _asked(rows.where("server_name <> ''"), ["server_name"], "client_hellos")
 
 
 def http(rows: DataFrame) -> DataFrame:
     """rows: host, method, uri, user_agent, sip, dip, dport, ts_nanos; those with a host or a method count."""
-    return _named(rows.where("host <> '' OR method <> ''"), ["host", "method", "uri", "user_agent"], "requests")
+    return _asked(rows.where("host <> '' OR method <> ''"), ["host", "method", "uri", "user_agent"], "requests")
 
 
 TABLES = {"macs": (macs, "packets", ["mac"]), "ips": (ips, "packets", ["ip"]), "ports": (ports, "packets", ["proto", "port"]), "conversations": (conversations, "packets", ["ip_a", "ip_b"]), "flows": (flows, "packets", ["proto", "ip_a", "port_a", "ip_b", "port_b"]), "protocols": (protocols, "packets", ["kind", "protocol"])}

@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.dissect import dissect
 from netloom.operators import aggregates as A
 from netloom.schema import GROUP
 from netloom.sources.pcap import register
@@ -45,7 +44,7 @@ def build(spark: SparkSession, captures: str, cache: str) -> dict:
     """Always reads the captures anew; returns the manifest."""
     register(spark)
     began = time.time()
-    packets = dissect(spark.read.format("pcap").load(captures))
+    packets = spark.read.format("pcap").option("dissect", "true").load(captures)
     write_table(packets, f"{cache}/packets")
     kept = spark.read.parquet(f"{cache}/packets")
     A.row_groups(kept).write.mode("overwrite").parquet(f"{cache}/groups")
@@ -77,7 +76,7 @@ def open_packets(spark: SparkSession, captures: str, cache: str | None = None, r
         build(spark, captures, cache)
         return spark.read.parquet(f"{cache}/packets")
     register(spark)
-    return dissect(spark.read.format("pcap").load(captures))
+    return spark.read.format("pcap").option("dissect", "true").load(captures)
 
 
 def groups_that_may_match(groups: DataFrame, low: str, high: str, start: int, end: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from netloom.operators import inventory as R
 from netloom.plans.filters import packet_filter, table_search
 from netloom.sources.bbframe import find_ipv4, gse_packets, parse_lines, validation_report
 from netloom.sources.events import PACKETS_SQL, documents_as_payload, packets, packets_of
+from netloom.sources.pcap import register, shared_folder, write_part
 from netloom.streaming.live import live_conversations, live_filter, live_protocols, run_bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +90,16 @@ query("flt_data_hex", "SELECT doc_id AS packet_no FROM documents WHERE contains(
 def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets as bytes alone: what a capture file would give."""
     made = D.ethernet_frame(packets(spark, sf_dir).withColumn("ethertype", F.when(F.col("ethertype") == 0, 2048).otherwise(F.col("ethertype"))), F.lit("hello").cast("binary"))
-    return made.select("packet_no", "linktype", "frame")
+    return made.select("packet_no", "ts_nanos", "origlen", "linktype", "frame")
+
+
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from capture files: written in order, a file a partition, then read back and dissected."""
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    rows = framed(spark, sf_dir).repartitionByRange(4, "packet_no").sortWithinPartitions("packet_no")
+    rows.select("ts_nanos", "origlen", "linktype", "frame").foreachPartition(partial(write_part, folder))
+    register(spark)
+    return spark.read.format("pcap").option("dissect", "true").load(folder)
 
 
 @query("dissect_fields", """SELECT packet_no, mac_src, mac_dst, vlan, CASE WHEN ethertype = 0 THEN 2048 ELSE ethertype END AS ethertype, ip4_src, ip4_dst, ip_proto, sport, dport, tcp_flags
@@ -102,6 +113,11 @@ def _(p):
     return D.dissect(p).where("vlan IS NOT NULL").groupBy("vlan").agg(F.count("*").alias("packets"))
 
 
+query("capture_read", """, n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS k FROM e)
+    SELECT n.k AS packet_no, ts_nanos, mac_src, mac_dst, vlan, CASE WHEN ethertype = 0 THEN 2048 ELSE ethertype END AS ethertype, ip4_src, ip4_dst, CASE WHEN ip4_src IS NULL AND v6_src IS NULL THEN NULL ELSE ip_proto END AS ip_proto, sport, dport, tcp_flags
+    FROM packets JOIN n ON n.event_id = packets.packet_no""", captured)(lambda p: p.select("packet_no", "ts_nanos", "mac_src", "mac_dst", "vlan", "ethertype", "ip4_src", "ip4_dst", "ip_proto", "sport", "dport", "tcp_flags"))
+
+
 @query("field_spans_long", """, h AS (SELECT packet_no, CASE WHEN vlan IS NULL THEN 14 ELSE 18 END AS l3, ip4_src, v6_src, ip_proto, sport, vlan FROM packets),
     t AS (SELECT *, l3 + CASE WHEN ip4_src IS NOT NULL THEN 20 ELSE 40 END AS l4 FROM h WHERE sport IS NOT NULL)
     SELECT packet_no, 'eth dst' AS label, CAST(0 AS BIGINT) AS "start", CAST(6 AS BIGINT) AS "end" FROM h

@@ -11,21 +11,28 @@ import glob
 import json
 import os
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import StructType
 
-from netloom.schema import GROUP, PACKETS
+from netloom.functions.dissect import with_fields
+from netloom.schema import FIELDS, GROUP, PACKETS
 
 # Magic numbers as the first four bytes, with byte order and nanoseconds per fraction.
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
 PCAPNG = b"\x0a\x0d\x0d\x0a"
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6  # block types
-BATCH = 4096
+BATCH, WINDOW, CHUNK = 4096, 1 << 20, 4 << 20
+MOST_BYTES = 1 << 28  # of a record; more is damage
 MOST_NANOS = (1 << 63) - 1
 
 
@@ -75,11 +82,14 @@ class Walk:
 
     def __init__(self, file, state: State, at: int, limit: int | None = None):
         self.file, self.state, self.at, self.truncated = file, state, at, False
-        self.limit = limit
+        self.limit, self.held, self.base = limit, b"", 0
 
     def _read(self, at: int, n: int) -> bytes | None:
-        self.file.seek(at)
-        data = self.file.read(n)
+        k = at - self.base
+        if k < 0 or k + n > len(self.held):
+            self.file.seek(at)
+            self.held, self.base, k = self.file.read(max(n, WINDOW)), at, 0
+        data = self.held[k : k + n]
         return data if len(data) == n else None
 
     def records(self, payload: bool = True) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
@@ -98,8 +108,8 @@ class Walk:
             self.truncated |= self._read(self.at, 1) is not None
             return None
         sec, sub, cap, wire = struct.unpack(f"{s.order}4I", head)
-        data = self._read(self.at + 16, cap) if payload else self._skip(self.at + 16, cap)
-        if data is None or cap > 1 << 28:
+        data = None if cap > MOST_BYTES else self._read(self.at + 16, cap) if payload else self._skip(self.at + 16, cap)
+        if data is None:
             self.truncated = True
             return None
         here, self.at = self.at, self.at + 16 + cap
@@ -118,7 +128,7 @@ class Walk:
             s.order = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
             s.interfaces = []
         kind, size = struct.unpack_from(f"{s.order}II", head)
-        if size < 12 or size % 4 or size > 1 << 28:
+        if size < 12 or size % 4 or size > MOST_BYTES:
             self.truncated = True
             return None
         packet = kind in (SIMPLE, ENHANCED)
@@ -152,10 +162,51 @@ class Walk:
         return 1_000_000
 
 
+def legacy_chunks(file, state: State, at: int, limit: int | None = None) -> Iterator[tuple[int, bytes, list[tuple[int, int, int, int, int]]]]:
+    """(offset, bytes, records) of a legacy capture, some megabytes at a time; a record is (place in the bytes, seconds,
+    fraction, captured, wire length). Ends where Walk does."""
+    head = struct.Struct(f"{state.order}4I").unpack_from
+    file.seek(at)
+    held, damaged = b"", False
+    while not damaged and (limit is None or at < limit):
+        more = file.read(CHUNK)
+        held += more
+        here, found, most = 0, [], len(held) if limit is None else min(len(held), limit - at)
+        while here < most and here + 16 <= len(held):
+            sec, sub, cap, wire = head(held, here)
+            if cap > MOST_BYTES:
+                damaged = True
+                break
+            if here + 16 + cap > len(held):
+                break
+            found.append((here, sec, sub, cap, wire))
+            here += 16 + cap
+        if found:
+            yield at, held, found
+        if not more:
+            return
+        held, at = held[here:], at + here
+
+
+def _legacy_boundaries(file, state: State, at: int, every: int) -> Iterator[tuple[int, int, int, list]]:
+    start, first, n, held = at, 0, 0, state.dump()
+    for base, _, found in legacy_chunks(file, state, at):
+        ends = [f[0] for f in found[1:]] + [found[-1][0] + 16 + found[-1][3]]
+        for k in range(every - n % every - 1, len(found), every):
+            yield first, start, base + ends[k], held
+            start, first = base + ends[k], n + k + 1
+        n, at = n + len(found), base + ends[-1]
+    if n > first or not n:
+        yield first, start, at, held
+    return n
+
+
 def boundaries(path: str, every: int = GROUP) -> Iterator[tuple[int, int, int, list]]:
     """(first packet number, start, end, state) of runs of `every` records."""
     with open(path, "rb") as f:
         state, at = open_state(f.read(24))
+        if state.unit:
+            return (yield from _legacy_boundaries(f, state, at, every))
         walk = Walk(f, state, at)
         start, first, n, held = at, 0, 0, state.dump()
         for _ in walk.records(payload=False):
@@ -202,6 +253,23 @@ def batches(name: str, walk: Walk, first: int) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def legacy_batches(name: str, file, state: State, at: int, limit: int | None, first: int) -> Iterator[pa.RecordBatch]:
+    """As batches(), of a legacy capture."""
+    for base, held, found in legacy_chunks(file, state, at, limit):
+        here, sec, sub, cap, wire = np.array(found, np.int64).T
+        n = len(found)
+        frames = pa.array([held[x + 16 : x + 16 + c] for x, _, _, c, _ in found], pa.binary())
+        columns = [np.arange(first, first + n), sec * 1_000_000_000 + sub * state.unit, base + here, base + here + 16, cap, wire]
+        yield pa.RecordBatch.from_arrays([pa.repeat(name, n), *(pa.array(c, pa.int64()) for c in columns), pa.repeat(pa.scalar(state.linktype, pa.int32()), n), frames], schema=ARROW)
+        first += n
+
+
+def record_batches(name: str, file, state: State, at: int, limit: int | None, first: int) -> Iterator[pa.RecordBatch]:
+    if state.unit:
+        return legacy_batches(name, file, state, at, limit, first)
+    return batches(name, Walk(file, state, at, limit), first)
+
+
 def _files(path: str) -> list[str]:
     path = path.removeprefix("file://")
     found = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
@@ -216,12 +284,17 @@ class Piece(InputPartition):
 def _read_piece(piece: Piece) -> Iterator[pa.RecordBatch]:
     with open(piece.file, "rb") as f:
         state, at = open_state(f.read(24)) if piece.state is None else (State.load(piece.state), piece.start)
-        yield from batches(piece.file, Walk(f, state, at, piece.end), piece.first)
+        yield from record_batches(piece.file, f, state, at, piece.end, piece.first)
+
+
+def wants_fields(options: dict) -> bool:
+    """Option dissect: the reader adds the fields itself, which spares the frames a way through another worker."""
+    return str(options.get("dissect", "false")).lower() == "true"
 
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.every = options["path"], int(options.get("records_per_partition", GROUP))
+        self.path, self.every, self.fields = options["path"], int(options.get("records_per_partition", GROUP)), wants_fields(options)
 
     def partitions(self) -> list[Piece]:
         files = _files(self.path)
@@ -230,7 +303,8 @@ class PcapReader(DataSourceReader):
         return [Piece(*x) for x in numbered(files, self.every)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        yield from _read_piece(partition)
+        found = _read_piece(partition)
+        return map(with_fields, found) if self.fields else found
 
 
 class PcapTail(DataSourceStreamReader):
@@ -238,7 +312,7 @@ class PcapTail(DataSourceStreamReader):
     so far and the reader's state; max_bytes bounds what a file adds to one micro-batch."""
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("max_bytes", 64 << 20))
+        self.path, self.most, self.fields = options["path"], int(options.get("max_bytes", 64 << 20)), wants_fields(options)
         self.now: dict = {}
 
     def initialOffset(self) -> dict:
@@ -274,7 +348,8 @@ class PcapTail(DataSourceStreamReader):
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        yield from _read_piece(partition)
+        found = _read_piece(partition)
+        return map(with_fields, found) if self.fields else found
 
     def commit(self, end: dict) -> None:
         pass
@@ -286,7 +361,7 @@ class PcapSource(DataSource):
         return "pcap"
 
     def schema(self):
-        return PACKETS
+        return StructType([*PACKETS.fields, *FIELDS.fields]) if wants_fields(self.options) else PACKETS
 
     def reader(self, schema) -> PcapReader:
         return PcapReader(self.options)
@@ -311,7 +386,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     state, at = open_state(f.read(24))
                 except NotACapture:
                     continue
-                yield from batches(name, Walk(f, state, at), 0)
+                yield from record_batches(name, f, state, at, None, 0)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInArrow(run, PACKETS)
@@ -347,6 +422,29 @@ class PcapWriter:
         return self.packets, self.bytes, self.skipped_linktype
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines mount; in local mode, without it, one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must be set on a cluster")
+        folder = tempfile.mkdtemp(prefix="netloom-")
+    return folder.removeprefix("file://").removeprefix("file:")
+
+
+def write_part(folder: str, rows: Iterator) -> None:
+    """A partition's packets as one capture, put in place whole, so that a task may run again."""
+    os.makedirs(folder, exist_ok=True)
+    name, writer = f"part-{TaskContext.get().partitionId():05d}.pcap", None
+    path = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+    for r in rows:
+        writer = writer or PcapWriter(path, r.linktype)
+        writer.write(r.ts_nanos, r.origlen, r.linktype, bytes(r.frame))
+    if writer:
+        writer.finish()
+        os.replace(path, os.path.join(folder, name))
+
+
 def export_pcap(packets: DataFrame, path: str, limit: int = 0) -> tuple[int, int, int]:
     """Write packets in order to one file on the driver, a partition at a time; the link type is the first packet's.
     No packets: no file, (0, 0, 0)."""

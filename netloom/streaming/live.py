@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from netloom.functions.dissect import dissect
 from netloom.operators.aggregates import address_key, with_proto
 from netloom.plans.filters import packet_filter
 from netloom.sources.pcap import register
@@ -21,7 +20,7 @@ SPOOL = "netloom-spool-"
 def live_packets(spark: SparkSession, folder: str, max_bytes: int = 64 << 20) -> DataFrame:
     """Dissected packets of the captures that grow in a folder."""
     register(spark)
-    return dissect(spark.readStream.format("pcap").option("path", folder).option("max_bytes", max_bytes).load())
+    return spark.readStream.format("pcap").option("path", folder).option("max_bytes", max_bytes).option("dissect", "true").load()
 
 
 def live_filter(packets: DataFrame, text: str) -> DataFrame:
