@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.names import proto_kind, proto_name, proto_number
+from netloom.plans.filters import bounded, may_match, packet_test, parse
 from netloom.schema import GROUP
 
 PORTS_SHOWN = 256
@@ -92,10 +93,21 @@ def packets_per_ip(p: DataFrame) -> DataFrame:
     return ends.where("ip IS NOT NULL").groupBy("ip").agg(F.count("*").alias("packets"))
 
 
-def row_groups(p: DataFrame, size: int = GROUP) -> DataFrame:
-    """Summaries of consecutive runs of packets; times of 0 are included."""
-    group = F.floor(F.col("packet_no") / size).cast("long").alias("group_no")
-    return p.groupBy(group).agg(*sizes(), F.min("ts_nanos").alias("min_ts"), F.max("ts_nanos").alias("max_ts"), F.array_join(F.transform(F.array_sort(F.collect_set("ip_proto")), lambda x: x.cast("string")), " ").alias("ip_protos"), F.min("sport").alias("min_sport"), F.max("dport").alias("max_dport"))
+BOUNDED = ("mac_src", "mac_dst", "ip4_src", "ip4_dst", "ip6_src", "ip6_dst", "ethertype", "vlan", "ip_proto", "sport", "dport", "origlen")
+
+
+def group_no(size: int) -> Column:
+    return F.floor(F.col("packet_no") / size).cast("long").alias("group_no")
+
+
+def bounds(columns: list[str] | tuple[str, ...] = BOUNDED) -> list[Column]:
+    """What may_match() tests of a group."""
+    return [f(c).alias(f"{c}_{side}") for c in columns for f, side in ((F.min, "low"), (F.max, "high"))]
+
+
+def row_groups(p: DataFrame, size: int = GROUP, *more: Column) -> DataFrame:
+    """Summaries of consecutive runs of packets, with more aggregates if given; times of 0 are included."""
+    return p.groupBy(group_no(size)).agg(*sizes(), F.min("ts_nanos").alias("min_ts"), F.max("ts_nanos").alias("max_ts"), F.array_join(F.transform(F.array_sort(F.collect_set("ip_proto")), lambda x: x.cast("string")), " ").alias("ip_protos"), F.min("sport").alias("min_sport"), F.max("dport").alias("max_dport"), *more)
 
 
 def shares(p: DataFrame) -> DataFrame:
@@ -117,7 +129,8 @@ def page(p: DataFrame, start: int, rows: int = 1024) -> DataFrame:
     return p.where(F.col("packet_no").between(start, start + rows - 1))
 
 
-def query_counts(p: DataFrame, test: Column, maybe: Column, size: int = GROUP) -> DataFrame:
-    """(matched, groups_total, groups_scanned): maybe is a test over row_groups() that is true for groups that may match."""
-    groups = row_groups(p, size).agg(F.count("*").alias("groups_total"), F.count_if(maybe).alias("groups_scanned"))
-    return p.agg(F.count_if(F.coalesce(test, F.lit(False))).alias("matched")).crossJoin(groups)  # one row each
+def query_counts(p: DataFrame, text: str, size: int = GROUP) -> DataFrame:
+    """(matched, groups_total, groups_scanned) of a filter in one pass; groups whose bounds rule a match out aren't scanned."""
+    tree = parse(text)
+    groups = p.groupBy(group_no(size)).agg(F.count_if(packet_test(text)).alias("matched"), *bounds(bounded(tree)))
+    return groups.agg(F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"), F.count("*").alias("groups_total"), F.count_if(may_match(tree)).alias("groups_scanned"))

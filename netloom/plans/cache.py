@@ -9,9 +9,9 @@ import time
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netloom.operators import aggregates as A
+from netloom.plans.filters import may_match, parse
 from netloom.schema import GROUP
 from netloom.sources.pcap import register
 
@@ -47,7 +47,7 @@ def build(spark: SparkSession, captures: str, cache: str) -> dict:
     packets = spark.read.format("pcap").option("dissect", "true").load(captures)
     write_table(packets, f"{cache}/packets")
     kept = spark.read.parquet(f"{cache}/packets")
-    A.row_groups(kept).write.mode("overwrite").parquet(f"{cache}/groups")
+    A.row_groups(kept, GROUP, *A.bounds()).write.mode("overwrite").parquet(f"{cache}/groups")
     A.protocol_mix(kept).write.mode("overwrite").parquet(f"{cache}/protocols")
     A.conversations(kept).write.mode("overwrite").parquet(f"{cache}/conversations")
     manifest = {"version": VERSION, "sources": fingerprint(captures), "packets": kept.count(), "build_millis": int((time.time() - began) * 1000)}
@@ -79,6 +79,6 @@ def open_packets(spark: SparkSession, captures: str, cache: str | None = None, r
     return spark.read.format("pcap").option("dissect", "true").load(captures)
 
 
-def groups_that_may_match(groups: DataFrame, low: str, high: str, start: int, end: int) -> DataFrame:
-    """Groups whose [low, high] meets [start, end], as a scan's statistics would prune them."""
-    return groups.where((F.col(low) <= end) & (F.col(high) >= start))
+def groups_that_may_match(groups: DataFrame, text: str) -> DataFrame:
+    """Of the cached groups those that a filter can't be ruled out for, as a scan's statistics would prune them."""
+    return groups.where(may_match(parse(text)))

@@ -313,6 +313,44 @@ def packet_test(text: str) -> Column:
     return F.coalesce(packet_filter(text), F.lit(False))
 
 
+def _bounds(t: Test) -> tuple[object, object]:
+    """The least and the greatest value that an equality can hold for."""
+    kind, data = t.value.kind, t.value.data
+    if kind == "bits":
+        value, mask = data
+        high = bytes(v | (255 - m) for v, m in zip(value, mask, strict=True))
+        return (F.lit(bytearray(value)), F.lit(bytearray(high))) if len(value) == 16 else (int.from_bytes(value), int.from_bytes(high))
+    if kind == "proto":
+        return data[1], data[1]
+    if kind == "range":
+        return data
+    return (data % U16, data % U16) if t.field == "port" else (data, data)
+
+
+def bounded(tree) -> list[str]:
+    """The packet columns whose bounds may_match() asks for."""
+    if isinstance(tree, Test):
+        return [] if tree.field == "data" or tree.op == "!=" else list(_columns(tree))
+    parts = () if isinstance(tree, Not) else tree.parts
+    return sorted({c for p in parts for c in bounded(p)})
+
+
+def may_match(tree) -> Column:
+    """Whether a group of packets may hold a match, from <column>_low and <column>_high of the columns of bounded().
+    Never false for a group with a match; negations and payload searches always may."""
+    if isinstance(tree, Not) or isinstance(tree, Test) and (tree.field == "data" or tree.op == "!="):
+        return F.lit(True)
+    if not isinstance(tree, Test):
+        return reduce(or_ if isinstance(tree, Any) else and_, (may_match(p) for p in tree.parts))
+    if tree.op == "==":
+        low, high = _bounds(tree)
+        return F.coalesce(reduce(or_, ((F.col(f"{c}_low") <= high) & (F.col(f"{c}_high") >= low) for c in _columns(tree))), F.lit(False))
+    if tree.field == "port":
+        return F.lit(False)  # ordering on 'port' never holds
+    side = "low" if tree.op.startswith("<") else "high"
+    return F.coalesce(_compare(F.col(f"{_columns(tree)[0]}_{side}"), tree.op, tree.value.data), F.lit(False))
+
+
 FLAGS = ("mac", "mac_src", "mac_dst", "ip", "ip_src", "ip_dst", "proto", "port", "sport", "dport", "vlan")
 
 

@@ -180,7 +180,9 @@ query("row_groups", ", g AS (SELECT packet_no // 1024 AS group_no, * FROM packet
 query("shares", PROTO_SQL + " SELECT proto, count(*) AS packets, round(count(*) * 100.0 / greatest(sum(count(*)) OVER (), 1), 4) AS share FROM named GROUP BY proto_kind, proto_number, proto")(A.shares)
 query("distinct_macs", ", m AS (SELECT mac_src AS mac FROM packets UNION SELECT mac_dst FROM packets) SELECT count(*) AS macs FROM m")(A.distinct_macs)
 query("match_count", "SELECT count(*) AS n FROM packets WHERE ip_proto = 6 AND (sport = 443 OR dport = 443)")(lambda p: p.where(packet_filter("proto == tcp && port == 443")).agg(F.count("*").alias("n")))
-query("query_counts", ", g AS (SELECT packet_no // 1024 AS k, max(dport) AS d FROM packets GROUP BY 1) SELECT (SELECT count(*) FROM packets WHERE dport > 61000) AS matched, count(*) AS groups_total, count(*) FILTER (d > 61000) AS groups_scanned FROM g")(lambda p: A.query_counts(p, packet_filter("dport > 61000"), F.col("max_dport") > 61000, 1024))
+query("query_counts", ", g AS (SELECT packet_no // 1024 AS k, max(dport) AS d FROM packets GROUP BY 1) SELECT (SELECT count(*) FROM packets WHERE dport > 61000) AS matched, count(*) AS groups_total, count(*) FILTER (d > 61000) AS groups_scanned FROM g")(lambda p: A.query_counts(p, "dport > 61000", 1024))
+_PRUNE_SQL = ", g AS (SELECT packet_no // 64 AS k, min(dport) AS dl, max(dport) AS dh, min(sport) AS sl, max(sport) AS sh, min(vlan) AS vl, max(vlan) AS vh, min(ip4_src) AS il, max(ip4_src) AS ih FROM packets GROUP BY 1) SELECT (SELECT count(*) FROM packets WHERE {0}) AS matched, count(*) AS groups_total, count(*) FILTER ({1}) AS groups_scanned FROM g"
+query("query_counts_tree", _PRUNE_SQL.format("(sport BETWEEN 64000 AND 65000 OR dport BETWEEN 64000 AND 65000) AND vlan < 11 OR ip4_src BETWEEN 167772160 AND 167772167", "(coalesce(sl <= 65000 AND sh >= 64000, false) OR coalesce(dl <= 65000 AND dh >= 64000, false)) AND coalesce(vl < 11, false) OR coalesce(il <= 167772167 AND ih >= 167772160, false)"))(lambda p: A.query_counts(p, "port == 64000-65000 && vlan < 11 || src == 10.0.0.0/29", 64))
 
 # ---- order, limits --------------------------------------------------------------------------------------------------
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -307,13 +308,25 @@ class PcapReader(DataSourceReader):
         return map(with_fields, found) if self.fields else found
 
 
+def last_offset(checkpoint: str) -> dict:
+    """What a query had planned to read when it ended, from its checkpoint; nothing if it never ran. Spark doesn't tell
+    a source where to go on before it asks how far it can go."""
+    files, path = fs.FileSystem.from_uri(checkpoint)
+    kept = [f for f in files.get_file_info(fs.FileSelector(f"{path}/offsets", allow_not_found=True)) if f.base_name.isdigit()]
+    if not kept:
+        return {}
+    with files.open_input_stream(max(kept, key=lambda f: int(f.base_name)).path) as f:
+        return json.loads(json.loads(f.readall().decode().strip().splitlines()[-1])["files"])
+
+
 class PcapTail(DataSourceStreamReader):
     """Follows growing captures in a folder. An offset holds, per file, the end of the last whole record, the packets
-    so far and the reader's state; max_bytes bounds what a file adds to one micro-batch."""
+    so far and the reader's state; max_bytes bounds what a file adds to one micro-batch. A query that is to go on after a
+    stop names its checkpointLocation in the option checkpoint, too; it may have no other source."""
 
     def __init__(self, options: dict):
         self.path, self.most, self.fields = options["path"], int(options.get("max_bytes", 64 << 20)), wants_fields(options)
-        self.now: dict = {}
+        self.now: dict = last_offset(options["checkpoint"]) if options.get("checkpoint") else {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}

@@ -17,10 +17,17 @@ from netloom.sources.pcap import register
 SPOOL = "netloom-spool-"
 
 
-def live_packets(spark: SparkSession, folder: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """Dissected packets of the captures that grow in a folder."""
+def live_packets(spark: SparkSession, folder: str, max_bytes: int = 64 << 20, checkpoint: str = "") -> DataFrame:
+    """Dissected packets of the captures that grow in a folder; with a checkpoint, from where its query stopped."""
     register(spark)
-    return spark.readStream.format("pcap").option("path", folder).option("max_bytes", max_bytes).option("dissect", "true").load()
+    return spark.readStream.format("pcap").option("path", folder).option("max_bytes", max_bytes).option("checkpoint", checkpoint).option("dissect", "true").load()
+
+
+def append_to_table(spark: SparkSession, folder: str, table: str, checkpoint: str, text: str | None = None, max_bytes: int = 64 << 20, interval: str = "1 second") -> StreamingQuery:
+    """Follow a folder into a Parquet table, each packet once, also over stops, failures and restarts."""
+    packets = live_packets(spark, folder, max_bytes, checkpoint)
+    packets = live_filter(packets, text) if text else packets
+    return packets.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
 def live_filter(packets: DataFrame, text: str) -> DataFrame:

@@ -12,8 +12,8 @@ from netloom.operators import aggregates as A
 from netloom.operators import inventory as R
 from netloom.plans import cache
 from netloom.plans.filters import packet_filter
-from netloom.sources.pcap import NotACapture, Walk, boundaries, export_pcap, open_state, read_captures, register, ticks_per_second, ticks_to_nanos
-from netloom.streaming.live import live_conversations, live_filter, live_packets, run_bounded
+from netloom.sources.pcap import NotACapture, Walk, boundaries, export_pcap, legacy_batches, open_state, read_captures, register, ticks_per_second, ticks_to_nanos
+from netloom.streaming.live import append_to_table, live_conversations, live_filter, live_packets, run_bounded
 from tests import frames as B
 
 
@@ -168,3 +168,47 @@ def test_live(spark, tmp_path):
     assert spark.table("live_tcp").count() == 40
     run_bounded(live_conversations(p), "live_convs", "complete")
     assert spark.table("live_convs").first().packets == 70
+
+
+def test_live_table_goes_on_where_it_stopped(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    whole, file = B.pcap(B.standard()), tmp_path / "in" / "x.pcap"
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    for part in (whole[:2000], whole[: len(whole) - 900], whole):  # cut within records
+        file.write_bytes(part)
+        query = append_to_table(spark, str(tmp_path / "in"), table, checkpoint, max_bytes=700, interval="0 seconds")
+        for _ in range(3):  # max_bytes bounds a batch, so one look may not see all
+            query.processAllAvailable()
+        query.stop()
+    assert sorted(r.packet_no for r in spark.read.parquet(table).collect()) == list(range(80))
+
+
+def test_groups_without_a_match_are_ruled_out(packets):
+    for text in ("dport == 443", "proto == arp", "ip == 10.0.0.3", "ip == 10.*.0.2", "mac == ff:*", "len > 60", "len < 1", "port > 5", "!(proto == tcp)", 'data contains "HELLO"', "sport != 5 && vlan == 3", "ip == 2001:db8::/32", "port in {443, 50-60} || ethertype == 0x806"):
+        counts = A.query_counts(packets, text, 8).first()
+        holding = packets.where(packet_filter(text)).select(A.group_no(8)).distinct().count()
+        assert counts.matched == packets.where(packet_filter(text)).count() and counts.groups_total == 10
+        assert holding <= counts.groups_scanned <= 10
+    assert A.query_counts(packets, "len < 1", 8).first().groups_scanned == A.query_counts(packets, "ip == 2001:db8::/32", 8).first().groups_scanned == 0
+    assert A.query_counts(packets, "proto == arp", 8).first().groups_scanned < 10
+
+
+def test_damaged_chunks_and_boundaries(tmp_path):
+    whole = B.pcap(B.standard())
+    for cut in (len(whole), len(whole) - 30, 30, 24):
+        (tmp_path / "x").write_bytes(whole[:cut])
+        with open(tmp_path / "x", "rb") as f:
+            state, at = open_state(f.read(24))
+            walked = list(Walk(f, state, at).records())
+            found = [b for rows in legacy_batches("x", f, state, at, None, 0) for b in rows.to_pylist()]
+        assert [(r["record_offset"], r["ts_nanos"], r["frame"]) for r in found] == [(w[0], w[2], w[6]) for w in walked]
+        assert [(p[0], p[1]) for p in boundaries(str(tmp_path / "x"), 9)] == [(k, walked[k][0]) for k in range(0, len(walked), 9)] or not walked
+
+
+def test_address_texts(spark):
+    import ipaddress
+
+    rng = random.Random(3)
+    every = [bytes(rng.choice([0, 0, 0, 1, 16, 255]) for _ in range(16)) for _ in range(500)] + [bytes(16), b"\xff" * 16]
+    got = spark.createDataFrame([(bytearray(x),) for x in every], "a binary").select("a", fmt_addr(F.lit(None).cast("long"), F.col("a")).alias("t")).collect()
+    assert all(r.t == ipaddress.IPv6Address(bytes(r.a)).compressed for r in got)

@@ -24,7 +24,7 @@ def plain(rows, names):
     return sorted(str(tuple(cell(r[k]) for k in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["flagship", "flt_bool_nesting", "flt_ip_ne_missing", "conversations", "rpt_flows", "rpt_ips", "hist_rescaling", "proto_key_name", "dissect_fields", "flow_seq_residual", "fn_slug", "gse_walk"])
+@pytest.mark.parametrize("name", ["flagship", "flt_bool_nesting", "flt_ip_ne_missing", "conversations", "rpt_flows", "rpt_ips", "hist_rescaling", "proto_key_name", "dissect_fields", "flow_seq_residual", "fn_slug", "gse_walk", "capture_read", "query_counts_tree", "rpt_conversations"])
 def test_against_sql(spark, sf, db, name):
     got = core.QUERIES[name](spark, sf)
     want = db.sql(core.SQL[name])
