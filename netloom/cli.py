@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from netloom.operators import aggregates as A
 from netloom.operators import histograms as H
 from netloom.plans import cache as C
 from netloom.plans.filters import FIELDS, FLAGS, FilterError, compose, packet_filter
-from netloom.sources.pcap import export_pcap
+from netloom.sources.pcap import capture_facts, export_pcap
 
 OPERATORS = ("==", "!=", "<", ">", "<=", ">=", "in {", "contains")
 
@@ -88,10 +89,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         m = C.build(spark, a.capture, a.cache)
         print(f"{m['packets']} packets in {m['build_millis']} ms")
         return 0
+    began = time.time()
     packets = C.open_packets(spark, a.capture, a.cache, a.reindex, a.index)
     text = compose(a.filter, **{f: getattr(a, f) for f in FLAGS}) if a.command in ("query", "export", "hist") else ""
     if a.command == "stats":
-        s = output.stats(packets, a.top)
+        s = capture_facts(packets, a.capture) | output.stats(packets, a.top)
+        s["build_millis"] = int((time.time() - began) * 1000)
         print(json.dumps(s) if a.json else output.stats_text(s))
     elif a.command == "query":
         if not text:

@@ -189,6 +189,27 @@ def legacy_chunks(file, state: State, at: int, limit: int | None = None) -> Iter
         held, at = held[here:], at + here
 
 
+def ends_whole(path: str, last: int | None = None) -> bool:
+    """Whether a capture ends with a whole record, looked at from the offset of its last packet, if it has one."""
+    with open(path, "rb") as f:
+        head = f.read(24)
+        state, at = open_state(head)
+        if not state.unit:
+            state.order = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
+        walk = Walk(f, state, at if last is None else last)
+        for _ in walk.records(payload=False):
+            pass
+    return not walk.truncated
+
+
+def capture_facts(packets: DataFrame, path: str) -> dict:
+    """Of the captures that packets were read from: file, file_bytes, truncated (any of them), row_groups."""
+    last = {r.file: r.last for r in packets.groupBy("file").agg(F.max("record_offset").alias("last")).collect()}  # one row per file
+    files = _files(path)
+    groups = packets.select(F.floor(F.col("packet_no") / GROUP)).distinct().count()
+    return {"file": path, "file_bytes": sum(map(os.path.getsize, files)), "truncated": not all(ends_whole(f, last.get(f)) for f in files), "row_groups": groups}
+
+
 def _legacy_boundaries(file, state: State, at: int, every: int) -> Iterator[tuple[int, int, int, list]]:
     start, first, n, held = at, 0, 0, state.dump()
     for base, _, found in legacy_chunks(file, state, at):

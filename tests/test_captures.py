@@ -12,7 +12,7 @@ from netloom.operators import aggregates as A
 from netloom.operators import inventory as R
 from netloom.plans import cache
 from netloom.plans.filters import packet_filter
-from netloom.sources.pcap import NotACapture, Walk, boundaries, export_pcap, legacy_batches, open_state, read_captures, register, ticks_per_second, ticks_to_nanos
+from netloom.sources.pcap import NotACapture, Walk, boundaries, capture_facts, export_pcap, legacy_batches, open_state, read_captures, register, ticks_per_second, ticks_to_nanos
 from netloom.streaming.live import append_to_table, live_conversations, live_filter, live_packets, run_bounded
 from tests import frames as B
 
@@ -151,6 +151,12 @@ def test_commands(spark, capture, packets, tmp_path, capsys):
     s = json.loads(capsys.readouterr().out)
     assert s["unique_macs"] == 4 and s["protocols"][0]["proto"] == "tcp" and sum(s["histogram"]["counts"]) == 80
     assert "packets 80" in output.stats_text(s)
+    assert (s["file"], s["file_bytes"], s["truncated"], s["row_groups"]) == (capture, len(B.pcap(B.standard())), False, 1) and s["build_millis"] > 0
+    for k, make in enumerate((B.pcap, B.pcapng)):
+        cut = tmp_path / f"cut{k}.cap"
+        cut.write_bytes(make(B.standard())[:-30])
+        rows = spark.read.format("pcap").load(str(cut))
+        assert capture_facts(rows, str(cut))["truncated"] and rows.count() == 79
     cli.main(["export", capture, "proto == icmp", "--out", str(tmp_path / "o.pcap")], spark)
     assert capsys.readouterr().out.startswith("5 packets")
     cli.main(["hist", capture, "--series", "web=port == 443"], spark)
