@@ -238,7 +238,7 @@ scalar("fn_fmt_ts", "strftime(make_timestamp(ts_nanos // 1000), '%Y-%m-%d %H:%M:
 scalar("fn_fmt_ts_short", "strftime(make_timestamp(ts_nanos // 1000), '%H:%M:%S.%g')", lambda: S.fmt_ts(F.col("ts_nanos"), short=True))
 scalar("fn_iso", "strftime(make_timestamp(ts_nanos // 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00')", lambda: S.iso(F.col("ts_nanos")))
 _BIG = "(packet_no * packet_no * packet_no)"
-scalar("fn_fmt_bytes", f"CASE WHEN {_BIG} >= 1000000000000 THEN printf('%.1f TB', {_BIG} / 1e12) WHEN {_BIG} >= 1000000000 THEN printf('%.1f GB', {_BIG} / 1e9) WHEN {_BIG} >= 1000000 THEN printf('%.1f MB', {_BIG} / 1e6) WHEN {_BIG} >= 1000 THEN printf('%.1f KB', {_BIG} / 1e3) ELSE {_BIG} || ' B' END", lambda: S.fmt_bytes(F.expr(_BIG)))
+scalar("fn_fmt_bytes", f"CASE WHEN {_BIG} >= 1000000000000 THEN printf('%.1f TB', {_BIG} / 1e12) WHEN {_BIG} >= 1000000000 THEN printf('%.1f GB', {_BIG} / 1e9) WHEN {_BIG} >= 1000000 THEN printf('%.1f MB', {_BIG} / 1e6) WHEN {_BIG} >= 1000 THEN printf('%.1f KB', {_BIG} / 1e3) ELSE {_BIG} || ' B' END", lambda: S.fmt_bytes(F.expr("CAST(packet_no AS DECIMAL(38,0)) * packet_no * packet_no")))  # a cube leaves 64 bits at 2,097,152 packets
 scalar("fn_duration", "CASE WHEN packet_no < 1 THEN printf('%.0f ms', packet_no * 1000.0) WHEN packet_no < 120 THEN printf('%.1f s', packet_no * 1.0) WHEN packet_no < 7200 THEN printf('%.1f min', packet_no / 60.0) WHEN packet_no < 172800 THEN printf('%.1f h', packet_no / 3600.0) ELSE printf('%.1f d', packet_no / 86400.0) END", lambda: S.fmt_duration(F.col("packet_no")))
 scalar("fn_tcp_flags", "CASE tcp_flags WHEN 2 THEN 'SYN' WHEN 18 THEN 'SYN,ACK' WHEN 4 THEN 'RST' WHEN 24 THEN 'PSH,ACK' END", lambda: S.tcp_flags(F.col("tcp_flags")))
 scalar("fn_sign_extend", "CASE WHEN packet_no % 256 >= 128 THEN packet_no % 256 - 256 ELSE packet_no % 256 END", lambda: S.sign_extend(F.col("packet_no") % 256, 8))

@@ -38,3 +38,15 @@ def test_every_row_against_sql(spark, name):
     got = {r.packet_no: r.v for r in core.QUERIES[name](spark, sf).collect()}
     assert got == want
     assert len(got) == db.sql("select count(*) from events").fetchall()[0][0]
+
+
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    """Ids as in 60 copies of sf0.1 with shifted keys: the SQL as it stands, over wider packet numbers."""
+    ids = [0, 9, 10, 99, 100, 9_999, 10_000, 2_097_151, 2_097_152, 2_700_003, 5_999_999, *range(1_999_000, 6_000_000, 4_001)]
+    duckdb.sql("SELECT unnest($1)::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::BIGINT AS user_id, 'x' AS event_type, 1.0::DOUBLE AS value, '' AS props", params=[ids]).write_parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
+    sql = core.SQL["fn_fmt_bytes"].replace("CAST(event_id AS BIGINT) AS packet_no", "CAST(event_id AS HUGEINT) AS packet_no")
+    got = {r.packet_no: r.v for r in core.QUERIES["fn_fmt_bytes"](spark, str(tmp_path)).collect()}
+    assert got == dict(db.sql(sql).fetchall())
+    assert len(got) == len(set(ids)) and got[5_999_999] == "215999892.0 TB"
