@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.common import batch, binary, modest, partitions, slices, stored, table
-from netloom.llm.components import components
+from netloom.llm.components import components, forest
 
 TILE, SUB = 1 << 16, 1 << 10
 FOLD = 1 << 21  # links held before they are folded into a forest
@@ -115,20 +115,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tile()
 
 
-def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """For nodes 0..n-1, the least node of each one's component."""
-    low = np.arange(n)
-    while True:
-        a, b = low[u], low[v]
-        apart = a != b
-        if not apart.any():
-            return low
-        u, v = u[apart], v[apart]
-        np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (step := low[low]).tobytes() != low.tobytes():
-            low = step
-
-
 def _links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) of a spanning forest of the links between and, if it is one tile, within a and b."""
     same = a is b
