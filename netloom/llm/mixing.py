@@ -1,14 +1,20 @@
-"""Adaptive context-mixing range coder for token ids.
-
-Ids are coded in blocks that start from nothing and carry a checksum. In each block three predictions are kept: the id
-that last followed the two ids before (order 2), the one that last followed the id before (order 1), and the
-frequencies of the block's ids so far (order 0, the last ones counted more, renewed as their number grows). Two adaptive
-models, one that sees the predictions' confidence and one that sees the last events, say which of them is right: order
-2, order 1, order 0, or a new id, sent by a fixed prior. Their distributions are mixed by a weight that each block learns: it follows
-the share of the two models in the probability of what came. Event and order-0 id go through one arithmetic-coding step.
-
-All blocks of a batch are coded side by side: one numpy step codes one id of every block. Only integers are used, so
-every machine decodes the same.
+"""Context-mixing range coder for token ids.
+
+A block lists its distinct ids and codes each id by its rank among them. Three predictions are kept: the id that follows
+the two ids before (order 2, by hash), the id that follows the one before (order 1), each with a trust that hits raise
+and misses lower, and the frequencies of the ids so far (order 0). Two models, one that sees both trusts and one that sees
+the last three events, say what comes: order 2, order 1, order 0, or an id too rare for order 0, of which all are alike.
+Their distributions are mixed by weights, one for each pair of trusts, that follow the two models' shares in the
+probability of what came (steps of expectation and maximisation). Event and order-0 id go through one arithmetic-coding
+step.
+
+A block's ids are dealt to lanes, consecutive runs that are coded side by side: one numpy step codes one id of every
+lane. The lanes share all predictions, models and weights. These learn from what all lanes have coded at fixed rows (after
+each one at first, after EPOCH at most), so that within an epoch the mix is a table of bounds, and the encoder has whole
+epochs at once. The words of all lanes form one stream, in the order in which a decoder asks for them.
+
+Models use integers only. The coder's numbers are integers below 2^53 in doubles, on which all its steps are exact, and
+quotients are so far from the next integer that rounding can't reach it; so every machine decodes the same.
 """
 
 from __future__ import annotations
@@ -17,33 +23,20 @@ import struct
 import zlib
 
 import numpy as np
-
-BLOCK = 8192  # ids in a block at most
-LEAST_BLOCK, SIDE_BY_SIDE = 2048, 16  # blocks are shorter, down to LEAST_BLOCK, where a segment has fewer than SIDE_BY_SIDE
-LANES = 1024  # blocks coded side by side at most
-FIRST, STRIDE = 64, 512
-RECENT, RECENT_TIMES = 512, 8  # of order 0
-SLOT_BITS, TOTAL_BITS = 14, 20
-SLOTS2, SLOTS1, RATE = 1 << 13, 1 << 12, 5
-WEIGHTS = 15 << 12  # of the two models in all: fifteen sixteenths of 2^16
-FIELDS, LESS = 0xFFFF_0000_FFFF, 0x03FF_03FF_03FF_03FF
-MORE = 1020 << (np.arange(4) * 16)  # for the event that came; fields sum to 32 x 1020 + 124 at most
-PRIOR_IDS, LEAN = 1 << 16, 200  # ids under the prior, and how steeply it falls
-WIDE = 1 << 31  # marks a block with ids from 2^16 on, whose new ids take their upper 15 bits first
+import zstandard
+
+BLOCK = 1 << 22  # ids in a block at most
+LANES, LANE = 4096, 1024  # lanes of a block at most; ids that each has at least, where there is more than one
+EPOCH = 32  # rows between two lessons at most
+TABLE_BITS = 19  # of order 2
+TRUST, PAST = 7, 64  # most trust in an order; combinations of the last three events
+SLOT_BITS, TOTAL_BITS = 17, 24
+SLOTS, TOTAL = 1 << SLOT_BITS, 1 << TOTAL_BITS
+LEAST = np.array([1 << 10, 1 << 10, 1 << SLOT_BITS, 1 << 10])  # of 2^24, of each event; order 0 needs one for each slot
+WHOLE = 1 << 12  # of the weights
 MOST_ID = (1 << 29) - 1
-HEAD = struct.Struct("<III")  # ids, 16-bit words and the mark, crc32 of the ids as little-endian unsigned 32-bit integers
-LOW, MASK32 = (1 << 48) - 1, (1 << 32) - 1
-
-
-def _prior() -> np.ndarray:
-    """Bounds of the ids below 2^16 among 2^20: vocabularies list frequent pieces first."""
-    size = 1 + ((1 << 24) // (np.arange(PRIOR_IDS, dtype=np.int64) + LEAN)) * 2
-    size = 1 + size * ((1 << TOTAL_BITS) - PRIOR_IDS) // size.sum()
-    size[0] += (1 << TOTAL_BITS) - size.sum()
-    return np.concatenate(([0], np.cumsum(size)))
-
-
-PRIOR = _prior()
+HEAD = struct.Struct("<IIIII")  # ids, distinct ids, bytes of their list, words of the stream, crc32 of the ids as little-endian unsigned 32-bit integers
+LOW, SHORT, WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -51,302 +44,269 @@ def checksum(ids: np.ndarray) -> int:
 
 
 def cut(ids: np.ndarray) -> list[np.ndarray]:
-    """A segment's ids as blocks."""
-    size = min(BLOCK, max(LEAST_BLOCK, -(-len(ids) // SIDE_BY_SIDE)))
-    return [ids[k : k + size] for k in range(0, len(ids), size)]
+    """A segment's ids as blocks of about the same size."""
+    many = -(-len(ids) // BLOCK)
+    return np.array_split(ids, many) if many else []
 
 
-def _epochs(longest: int) -> list[int]:
-    """Where order 0 is renewed: at every third more ids, at STRIDE ids at most."""
-    out = [FIRST]
-    while (at := out[-1] + min(max(out[-1] // 3, 16), STRIDE)) < longest:
-        out.append(at)
-    return out
+def _shape(n: int) -> tuple[int, int]:
+    """(rows, lanes) of a block; the last lane may be shorter, and lanes that would be empty are left out."""
+    rows = -(-n // max(1, min(LANES, n // LANE)))
+    return rows, -(-n // rows) if rows else 0
 
 
-def _slots(count: np.ndarray) -> np.ndarray:
-    """First slot of each id and the end, over 2^14 slots, at least one each."""
-    slots = count * ((1 << SLOT_BITS) - len(count)) // int(count.sum()) + 1
-    slots[slots.argmax()] += (1 << SLOT_BITS) - int(slots.sum())
-    out = np.zeros(len(count) + 1, np.int64)
-    np.cumsum(slots, out=out[1:])
-    return out
+def _lessons(rows: int) -> list[int]:
+    """First rows of the epochs, and the end."""
+    out = [0]
+    while (at := out[-1] + max(1, min(out[-1] // 2, EPOCH))) < rows:
+        out.append(at)
+    return [*out, rows] if rows else [0]
+
+
+class _Model:
+    """What the lanes of a block have learnt. An entry of a table is the rank that it foretells, times 8, and its trust (0: none)."""
+
+    def __init__(self, distinct: int):
+        self.table2, self.table1 = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(distinct, np.int64)
+        self.count = np.ones(distinct, np.int64)
+        self.by_trust, self.by_past = (np.tile(np.array([1, 1, 4, 2]), (k, 1)) for k in ((TRUST + 1) ** 2, PAST))
+        self.weight = np.full(len(self.by_trust), WHOLE // 2)  # of the model that sees the trusts
+        self._settle()
+
+    @staticmethod
+    def key2(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (before * 0x9E3779B1 + last * 0x85EBCA77 >> 11) & (1 << TABLE_BITS) - 1
+
+    def _shares(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((t << 20) // t.sum(axis=1, keepdims=True) for t in (self.by_trust, self.by_past))
+
+    def _settle(self) -> None:
+        """Tables for the next epoch: bounds of the events by context, slots of order 0."""
+        trust, past = self._shares()
+        mix = self.weight[:, None, None] * trust[:, None] + (WHOLE - self.weight)[:, None, None] * past[None]
+        mix[: TRUST + 1, :, 0] = 0  # nothing foretold
+        mix[:: TRUST + 1, :, 1] = 0
+        mix = LEAST + mix * (TOTAL - LEAST.sum()) // mix.sum(axis=2, keepdims=True)
+        self.end2 = mix[..., 0].ravel().astype(np.float64)
+        self.end1 = self.end2 + mix[..., 1].ravel()
+        self.end0 = TOTAL - mix[..., 3].ravel().astype(np.float64)
+        slots = self.count * SLOTS // self.count.sum()
+        slots[self.count.argmax()] += SLOTS - slots.sum()
+        self.frequent = np.flatnonzero(slots)
+        self.last = np.cumsum(slots).astype(np.float64)
+        self.first = self.last - slots
+
+    def learn(self, key2: np.ndarray, last: np.ndarray, ranks: np.ndarray, entry2: np.ndarray, entry1: np.ndarray, context: np.ndarray, event: np.ndarray) -> None:
+        """What came in an epoch, in the order of rows, and within a row of lanes."""
+        for table, at, entry in ((self.table2, key2, entry2), (self.table1, last, entry1)):
+            trust, new = entry & 7, ranks << 3 | 1
+            table[at] = np.where(entry >> 3 == ranks, np.where(trust == 0, new, entry + (trust < TRUST)), np.where(trust > 1, entry - 1, new))
+        self.count += np.bincount(ranks, minlength=len(self.count))
+        came = np.bincount(context << 2 | event, minlength=len(self.by_trust) * PAST * 4).reshape(-1, PAST, 4)
+        trust, past = self._shares()
+        some = came.sum(axis=(1, 2))
+        for _ in range(3):
+            own = self.weight[:, None, None] * trust[:, None]
+            part = (own << 12) // np.maximum(own + (WHOLE - self.weight)[:, None, None] * past[None], 1)
+            weight = (came * part).sum(axis=(1, 2)) // np.maximum(some, 1)
+            self.weight = np.where(some > 0, np.clip(weight, WHOLE // 32, WHOLE - WHOLE // 32), self.weight)
+        self.by_trust += came.sum(axis=1)
+        self.by_past += came.sum(axis=0)
+        self._settle()
 
 
-class _Seen:
-    """The distinct ids of a decoded lane and how often they occurred; the last RECENT ids count RECENT_TIMES."""
-
-    def __init__(self):
-        self.own, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def slots(self, ids: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct ids, their slots) of all ids; `done` of them were counted before."""
-        part, many = np.unique(ids[done:], return_counts=True)
-        at = np.searchsorted(self.own, part)
-        new = np.append(self.own, 0)[at] != part if len(self.own) else np.ones(len(part), bool)
-        new |= at == len(self.own)
-        self.count[at[~new]] += many[~new]
-        self.own, self.count = np.insert(self.own, at[new], part[new]), np.insert(self.count, at[new], many[new])
-        late, many = (part, many) if len(ids) - done == min(RECENT, len(ids)) else np.unique(ids[-RECENT:], return_counts=True)
-        count = self.count.copy()
-        count[np.searchsorted(self.own, late)] += many * (RECENT_TIMES - 1)
-        return self.own, _slots(count)
-
-
-class _State:
-    """The predictions of all lanes. A model's distribution over the four events is one integer of four 16-bit fields
-    (order 2 lowest, then order 1, order 0, new), of 2^15 in all, so a step updates it whole."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int64)
-        self.table2, self.table1 = np.zeros(lanes * SLOTS2, np.int32), np.zeros(lanes * SLOTS1, np.int32)
-        even = 4000 | 4000 << 16 | 16000 << 32 | 8000 << 48
-        self.by_trust, self.by_past = np.full(lanes * 16, even), np.full(lanes * 64, even)
-        self.weight = np.full(lanes, WEIGHTS // 2)  # of the first model
-        self.last, self.past, self.key1 = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.base2, self.base1, self.base_trust, self.base_past = lane * SLOTS2, lane * SLOTS1, lane * 16, lane * 64
-
-    def predict(self) -> None:
-        """Candidates and the bounds of the events among 2^20."""
-        key = self.key1 + self.last * 30011  # of the id before the last, and the last
-        self.key1 = self.last * 40503
-        self.at2 = (key >> 4 & SLOTS2 - 1) + self.base2
-        self.at1 = (self.key1 >> 5 & SLOTS1 - 1) + self.base1
-        self.entry2, self.entry1 = self.table2.take(self.at2), self.table1.take(self.at1)
-        self.trust2, self.trust1 = self.entry2 & 3, self.entry1 & 3
-        self.guess2, self.guess1 = self.entry2 >> 2, self.entry1 >> 2
-        self.at_trust = (self.trust2 << 2 | self.trust1) + self.base_trust
-        self.at_past = self.past + self.base_past
-        self.own_trust, self.own_past = self.by_trust.take(self.at_trust), self.by_past.take(self.at_past)
-        rest = WEIGHTS - self.weight
-        even = (self.own_trust & FIELDS) * self.weight + (self.own_past & FIELDS) * rest  # order 2, order 0
-        odd = (self.own_trust >> 16 & FIELDS) * self.weight + (self.own_past >> 16 & FIELDS) * rest  # order 1, new
-        self.end2 = (even & 0xFFFFFFFF) >> 11
-        self.end1 = ((odd & 0xFFFFFFFF) >> 11) + self.end2
-        self.end0 = (1 << TOTAL_BITS) - (odd >> 43)  # order 0 lies between end1 and end0, a sixteenth at least
-
-    def learn(self, event: np.ndarray, ids: np.ndarray) -> None:
-        field, more = event << 4, MORE.take(event)
-        self.weight += ((self.own_trust >> field & 0xFFFF) - (self.own_past >> field & 0xFFFF)) >> 3
-        np.minimum(self.weight, WEIGHTS - 1024, out=self.weight)
-        np.maximum(self.weight, 1024, out=self.weight)
-        self.by_trust[self.at_trust] = self.own_trust - (self.own_trust >> RATE & LESS) + more
-        self.by_past[self.at_past] = self.own_past - (self.own_past >> RATE & LESS) + more
-        plain = (ids << 2 | 1).astype(np.int32)
-        for table, at, entry, trust, guess in ((self.table2, self.at2, self.entry2, self.trust2, self.guess2), (self.table1, self.at1, self.entry1, self.trust1, self.guess1)):
-            table[at] = np.where((guess == ids) & (trust > 0), entry + (trust < 3), np.where(trust > 1, entry - 1, plain))
-        self.past = self.past << 2 & 63 | event
-        self.last = ids
-
-    def narrow(self, live: int) -> None:
-        """Go on with the first `live` lanes."""
-        for name in ("last", "past", "key1", "weight", "base2", "base1", "base_trust", "base_past"):
-            setattr(self, name, getattr(self, name)[:live])
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """Each block of at most BLOCK ids below 2^29 as bytes."""
+    return [_encode(np.asarray(b)) for b in blocks]
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of at most BLOCK ids below 2^29 as bytes; longer lists of blocks go in turns."""
-    out: list[bytes] = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for a in range(0, len(order), LANES):
-        some = order[a : a + LANES]
-        for k, blob in zip(some, _encode([blocks[k] for k in some]), strict=True):
-            out[k] = blob
-    return out
+def _ranks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, rank of each id)."""
+    if not len(ids) or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    have = np.bincount(ids) > 0
+    return np.flatnonzero(have), (np.cumsum(have) - 1).take(ids)
 
 
-def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    lanes, longest = len(blocks), len(blocks[0])
-    sizes = np.array([len(b) for b in blocks])
-    ids = np.zeros((longest, lanes), np.uint32)
-    first, last = np.zeros((longest, lanes), np.uint16), np.zeros((longest, lanes), np.uint16)  # slots in order 0; none: new
-    wide = np.array([int(b.max(initial=0)) >= PRIOR_IDS for b in blocks])
-    if wide.any() and max(int(b.max(initial=0)) for b in blocks) > MOST_ID:
+def _encode(block: np.ndarray) -> bytes:
+    if len(block) > BLOCK:
+        raise ValueError("a block is too long")
+    if len(block) and not 0 <= block.min() <= block.max() <= MOST_ID:
         raise ValueError("an id is above 29 bits")
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-        if len(b) <= FIRST:
-            continue
-        distinct, rank = np.unique(b, return_inverse=True)
-        count, done, epochs = np.zeros(len(distinct), np.int64), 0, _epochs(len(b))
-        bounds = np.zeros((2, len(distinct)), np.uint16)
-        for start, stop in zip(epochs, [*epochs[1:], len(b)], strict=True):
-            count += np.bincount(rank[done:start], minlength=len(distinct))
-            done = start
-            own = np.flatnonzero(count)
-            slots = _slots((count + np.bincount(rank[max(0, start - RECENT) : start], minlength=len(distinct)) * (RECENT_TIMES - 1))[own])
-            bounds[0, own], bounds[1, own] = slots[:-1], slots[1:]
-            first[start:stop, k], last[start:stop, k] = bounds[0].take(rank[start:stop]), bounds[1].take(rank[start:stop])
-    state = _State(lanes)
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48)
-    words = np.zeros((lanes, longest * 5 // 8 + 64), np.uint16)
-    count = np.zeros(lanes, np.int64)
-
-    def carry(row: np.ndarray) -> None:
-        at = count[row] - 1
-        while len(row):
-            words[row, at] += np.uint16(1)
-            over = words[row, at] == 0
-            row, at = row[over], at[over] - 1
-
-    def emit(row: np.ndarray, word: np.ndarray) -> None:
-        words[row, count[row]] = word.astype(np.uint16)
-        count[row] += 1
-
-    def put(begin: np.ndarray, size: np.ndarray, bits: int, some: np.ndarray | None = None) -> None:
-        nonlocal low, width
-        lo, w = (low, width) if some is None else (low[some], width[some])
-        unit = w >> bits
-        lo = lo + unit * begin
-        w = unit * size
-        if len(over := np.flatnonzero(lo > LOW)):
-            carry(over if some is None else some[over])
-            lo[over] &= LOW
-        while len(short := np.flatnonzero(w <= MASK32)):
-            own = lo[short]
-            emit(short if some is None else some[short], own >> 32)
-            lo[short] = (own & MASK32) << 16
-            w[short] <<= 16
-        if some is None:
-            low, width = lo, w
-        else:
-            low[some], width[some] = lo, w
-
-    def finish(begin: int) -> None:
-        ended = np.arange(begin, len(low))
-        for _ in range(3):
-            emit(ended, low[ended] >> 32)
-            low[ended] = (low[ended] & MASK32) << 16
-
-    live = lanes
-    for t in range(longest):
-        if not t & 15 and count.max() + 128 > words.shape[1]:  # an id takes 5 words at most
-            words = np.pad(words, ((0, 0), (0, words.shape[1] // 2 + 128)))
-        while sizes[live - 1] <= t:
-            live -= 1
-        if live < len(low):
-            finish(live)
-            low, width = low[:live], width[:live]
-            state.narrow(live)
-        state.predict()
-        now = ids[t, :live].astype(np.int64)
-        a, z = first[t, :live].astype(np.int64), last[t, :live].astype(np.int64)
-        is2 = (state.guess2 == now) & (state.trust2 > 0)
-        is1 = (state.guess1 == now) & (state.trust1 > 0)
-        is0 = z > 0
-        event = np.where(is2, 0, np.where(is1, 1, np.where(is0, 2, 3)))
-        room = state.end0 - state.end1
-        begin = np.where(is2, 0, np.where(is1, state.end2, np.where(is0, state.end1 + (a * room >> SLOT_BITS), state.end0)))
-        end = np.where(is2, state.end2, np.where(is1, state.end1, np.where(is0, state.end1 + (z * room >> SLOT_BITS), 1 << TOTAL_BITS)))
-        put(begin, end - begin, TOTAL_BITS)
-        new = np.flatnonzero(event == 3)
-        if len(new):
-            far = new[wide[new]]
-            if len(far):
-                put(now[far] >> 16, np.ones(len(far), np.int64), 15, far)
-            low16 = now[new] & 0xFFFF
-            put(PRIOR[low16], PRIOR[low16 + 1] - PRIOR[low16], TOTAL_BITS, new)
-        state.learn(event, now)
-    finish(0)
-    return [HEAD.pack(len(b), int(n) | (WIDE if far else 0), checksum(b)) + w[:n].astype("<u2").tobytes() for b, n, w, far in zip(blocks, count, words, wide, strict=True)]
+    rows, lanes = _shape(len(block))
+    distinct, flat = _ranks(block)
+    names = zstandard.ZstdCompressor().compress(np.diff(distinct, prepend=0).astype("<u4").tobytes())
+    ranks = np.zeros(rows * lanes, np.int64)
+    ranks[: len(flat)] = flat
+    ranks = np.ascontiguousarray(ranks.reshape(lanes, rows).T)
+    del flat
+    model, coder = _Model(len(distinct)) if rows else None, _Encoder(lanes, rows)
+    before = np.zeros((2, lanes), np.int64)  # the two rows before
+    past = np.zeros(lanes, np.int64)
+    lessons = _lessons(rows)
+    for a, z in zip(lessons, lessons[1:], strict=False):
+        own = ranks[a:z]
+        seen = np.concatenate([before, own])
+        last = seen[1:-1]
+        key2 = model.key2(seen[:-2], last)
+        entry2, entry1 = model.table2.take(key2), model.table1.take(last)
+        first, last_slot = model.first.take(own), model.last.take(own)
+        by2 = (entry2 >> 3 == own) & (entry2 & 7 > 0)
+        by1 = (entry1 >> 3 == own) & (entry1 & 7 > 0) & ~by2
+        rare = (first == last_slot) & ~by2 & ~by1
+        event = np.full(own.shape, 2)
+        for mask, what in ((by2, 0), (by1, 1), (rare, 3)):
+            event[mask] = what
+        late = np.zeros((z - a, lanes), np.int64)
+        for k in range(z - a):
+            late[k] = past
+            past = past << 2 & PAST - 1 | event[k]
+        context = ((entry2 & 7) * (TRUST + 1) + (entry1 & 7)) * PAST + late
+        end2, end1, end0 = (t.take(context) for t in (model.end2, model.end1, model.end0))
+        unit = (end0 - end1) / SLOTS  # exact: 2^17 is a power of two
+        begin, end = end1 + np.floor(first * unit), end1 + np.floor(last_slot * unit)
+        for mask, low, high in ((by2, 0.0, end2), (by1, end2, end1), (rare, end0, float(TOTAL))):
+            np.copyto(begin, low, where=mask)
+            np.copyto(end, high, where=mask)
+        end -= begin
+        for k in range(z - a):
+            coder.put(begin[k], end[k])
+            if len(some := np.flatnonzero(rare[k])):
+                coder.put_one_of(some, own[k, some], len(distinct))
+        before = seen[-2:]
+        if z < rows:
+            model.learn(key2.ravel(), last.ravel(), own.ravel(), entry2.ravel(), entry1.ravel(), context.ravel(), event.ravel())
+    first, stream = coder.finish()
+    return HEAD.pack(len(block), len(distinct), len(names), len(stream), checksum(block)) + names + first.astype("<u2").tobytes() + stream.astype("<u2").tobytes()
+
+
+class _Encoder:
+    """Range coders of all lanes: low is below 2^48, width above 2^32 between two ids."""
+
+    def __init__(self, lanes: int, rows: int):
+        self.low, self.width = np.zeros(lanes), np.full(lanes, LOW)
+        self.words, self.count = np.zeros((lanes, rows * 5 // 8 + 16), np.uint16), np.zeros(lanes, np.int64)
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []  # lanes that emit a word, and its number
+
+    def put(self, begin: np.ndarray, size: np.ndarray) -> None:
+        if self.count.max() + 8 > self.words.shape[1]:  # an id takes 4 words at most, the end 3
+            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1] // 2 + 16)))
+        unit = np.floor(self.width * (1 / TOTAL))
+        self.low += unit * begin
+        np.multiply(unit, size, out=self.width)
+        self._even()
+
+    def put_one_of(self, some: np.ndarray, which: np.ndarray, many: int) -> None:
+        unit = np.floor(self.width[some] / many)
+        self.low[some] += unit * which
+        self.width[some] = unit
+        self._even()
+
+    def _even(self) -> None:
+        if len(over := np.flatnonzero(self.low >= LOW)):
+            self.low[over] -= LOW
+            at = self.count[over] - 1
+            while len(over):
+                self.words[over, at] += np.uint16(1)
+                on = self.words[over, at] == 0
+                over, at = over[on], at[on] - 1
+        while len(short := np.flatnonzero(self.width <= SHORT)):
+            at = self.count[short]
+            self.asked.append((short.astype(np.int16), at.astype(np.int32)))
+            self._emit(short, at)
+            self.width[short] *= WORD
+
+    def _emit(self, some: np.ndarray, at: np.ndarray) -> None:
+        low = self.low[some]
+        word = np.floor(low * (1 / SHORT))
+        self.words[some, at] = word.astype(np.uint16)
+        self.low[some] = (low - word * SHORT) * WORD
+        self.count[some] = at + 1
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the first three words of each lane, which a decoder begins with; the others as it asks for them)."""
+        for _ in range(3 if len(self.low) else 0):
+            self._emit(np.arange(len(self.low)), self.count)
+        if not self.asked:
+            return self.words[:, :3], np.zeros(0, np.uint16)
+        lane, at = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+        return self.words[:, :3], self.words[lane, at + 3]
 
 
 def decode_blocks(blobs: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; ValueError if a checksum is wrong."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blobs)
-    order = sorted(range(len(blobs)), key=lambda k: -HEAD.unpack_from(blobs[k])[0])
-    for a in range(0, len(order), LANES):
-        some = order[a : a + LANES]
-        for k, ids in zip(some, _decode([blobs[k] for k in some]), strict=True):
-            out[k] = ids
-    return out
-
-
-def _decode(blobs: list[bytes]) -> list[np.ndarray]:
-    lanes = len(blobs)
-    heads = [HEAD.unpack_from(b) for b in blobs]
-    sizes, wide = np.array([h[0] for h in heads]), np.array([h[1] >= WIDE for h in heads])
-    many = [h[1] % WIDE for h in heads]
-    longest = int(sizes[0])
-    if longest > BLOCK:
+    return [_decode(b) for b in blobs]
+
+
+def _decode(blob: bytes) -> np.ndarray:
+    n, many, size, held, check = HEAD.unpack_from(blob)
+    rows, lanes = _shape(n)
+    at = HEAD.size + size
+    try:
+        distinct = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[HEAD.size : at], max_output_size=4 * many), "<u4"), dtype=np.int64)
+    except zstandard.ZstdError as e:
+        raise ValueError("a block is damaged") from e
+    if n > BLOCK or len(distinct) != many or (n and not many) or len(blob) != at + 2 * (3 * lanes + held):
         raise ValueError("a block is damaged")
-    words = np.zeros((lanes, max(many) + 4), np.uint16)
-    for k, (b, n) in enumerate(zip(blobs, many, strict=True)):
-        words[k, :n] = np.frombuffer(b, "<u2", n, HEAD.size)
-    ids = np.zeros((lanes, longest), np.uint32)
-    state = _State(lanes)
-    code = words[:, 0].astype(np.int64) << 32 | words[:, 1].astype(np.int64) << 16 | words[:, 2]  # relative to the coder's low
-    width, count = np.full(lanes, 1 << 48), np.full(lanes, 3)
-    slots, most = 1 << SLOT_BITS, min(longest, BLOCK) + 1
-    rank_of, own_id, own_first = np.zeros((lanes, slots), np.uint16), np.zeros((lanes, most), np.uint32), np.zeros((lanes, most), np.uint16)
-    seen, done = [_Seen() for _ in range(lanes)], 0
-
-    def take(begin: np.ndarray, size: np.ndarray, unit: np.ndarray, some: np.ndarray | None = None) -> None:
-        nonlocal code, width
-        if not size.all():
-            raise ValueError("a block is damaged")
-        c = (code if some is None else code[some]) - unit * begin
-        w = unit * size
-        while len(short := np.flatnonzero(w <= MASK32)):
-            row = short if some is None else some[short]
-            at = count[row]
-            c[short] = c[short] << 16 | words[row, np.minimum(at, words.shape[1] - 1)]
-            count[row] = at + 1
-            w[short] <<= 16
-        if some is None:
-            code, width = c, w
-        else:
-            code[some], width[some] = c, w
-
-    live, epochs = lanes, set(_epochs(longest))
-    for t in range(longest):
-        while sizes[live - 1] <= t:
-            live -= 1
-        if live < len(code):
-            code, width = code[:live], width[:live]
-            state.narrow(live)
-        if t in epochs:
-            for k in range(live):
-                own, bounds = seen[k].slots(ids[k, :t], done)
-                rank_of[k] = np.repeat(np.arange(len(own), dtype=np.uint16), np.diff(bounds))
-                own_id[k, : len(own)], own_first[k, : len(bounds)] = own, bounds
-            done = t
-        state.predict()
-        unit = width >> TOTAL_BITS
-        value = np.minimum(code // unit, (1 << TOTAL_BITS) - 1)
-        is2 = value < state.end2
-        is1 = (value < state.end1) & ~is2
-        is3 = value >= state.end0
-        event = np.where(is2, 0, np.where(is1, 1, np.where(is3, 3, 2)))
-        now = np.where(is2, state.guess2, state.guess1).astype(np.int64)
-        begin, end = np.where(is2, 0, state.end2), np.where(is2, state.end2, state.end1)
-        if len(k := np.flatnonzero(event == 2)):
-            end1 = state.end1[k]
-            room = state.end0[k] - end1
-            slot = np.minimum((((value[k] - end1 + 1) << SLOT_BITS) - 1) // room, slots - 1)
-            at = rank_of[k, slot].astype(np.int64) + k * most
-            now[k] = own_id.ravel().take(at)
-            bounds = own_first.ravel()
-            begin[k] = end1 + (bounds.take(at).astype(np.int64) * room >> SLOT_BITS)
-            end[k] = end1 + (bounds.take(at + 1).astype(np.int64) * room >> SLOT_BITS)
-        new = np.flatnonzero(is3)
-        begin[new], end[new] = state.end0[new], 1 << TOTAL_BITS
-        take(begin, end - begin, unit)
-        if len(new):
-            far = new[wide[new]]
-            now[new] = 0
-            if len(far):
-                unit = width[far] >> 15
-                now[far] = np.minimum(code[far] // unit, (1 << 15) - 1)
-                take(now[far], np.ones(len(far), np.int64), unit, far)
-            unit = width[new] >> TOTAL_BITS
-            own = np.searchsorted(PRIOR, np.minimum(code[new] // unit, (1 << TOTAL_BITS) - 1), "right") - 1
-            take(PRIOR[own], PRIOR[own + 1] - PRIOR[own], unit, new)
-            now[new] = now[new] << 16 | own
-        ids[:live, t] = now
-        state.learn(event, now)
-    out = [ids[k, :n].copy() for k, n in enumerate(sizes)]
-    for own, head in zip(out, heads, strict=True):
-        if checksum(own) != head[2]:
-            raise ValueError("a block's checksum is wrong")
+    start = np.frombuffer(blob, "<u2", 3 * lanes, at).reshape(lanes, 3).astype(np.float64)
+    stream = np.frombuffer(blob, "<u2", held, at + 6 * lanes).astype(np.float64)
+    code, width, used = start[:, 0] * SHORT + start[:, 1] * WORD + start[:, 2], np.full(lanes, LOW), 0  # code is relative to the coder's low
+
+    def even() -> None:
+        nonlocal used
+        while len(short := np.flatnonzero(width <= SHORT)):
+            own = stream[used : used + len(short)]
+            if len(own) < len(short):
+                raise ValueError("a block is damaged")
+            used += len(short)
+            code[short] = code[short] * WORD + own
+            width[short] *= WORD
+
+    model = _Model(many) if n else None
+    ranks = np.zeros((rows + 2, lanes), np.int64)  # after two rows of nothing
+    past = np.zeros(lanes, np.int64)
+    lessons = _lessons(rows)
+    for a, z in zip(lessons, lessons[1:], strict=False):
+        key2, entry2, entry1, context, event = (np.zeros((z - a, lanes), np.int64) for _ in range(5))
+        slot_rank = np.repeat(model.frequent, (model.last - model.first)[model.frequent].astype(np.int64))
+        for k in range(z - a):
+            t = a + k
+            last = ranks[t + 1]
+            key2[k] = at2 = model.key2(ranks[t], last)
+            entry2[k] = own2 = model.table2.take(at2)
+            entry1[k] = own1 = model.table1.take(last)
+            context[k] = at = ((own2 & 7) * (TRUST + 1) + (own1 & 7)) * PAST + past
+            end2, end1, end0 = model.end2.take(at), model.end1.take(at), model.end0.take(at)
+            unit = np.floor(width * (1 / TOTAL))
+            value = np.minimum(np.floor(code / unit), TOTAL - 1.0)
+            is2, not1, is3 = value < end2, value >= end1, value >= end0
+            event[k] = now = not1.astype(np.int64) + is3 + ~is2
+            room = end0 - end1
+            slot = np.clip(np.floor(((value - end1 + 1) * SLOTS - 1) / room), 0, SLOTS - 1.0).astype(np.int64)
+            share = room / SLOTS
+            rank = slot_rank.take(slot)
+            begin, end = end1 + np.floor(model.first.take(rank) * share), end1 + np.floor(model.last.take(rank) * share)
+            if len(some := np.flatnonzero(~not1)):
+                two = is2[some]
+                rank[some] = np.where(two, own2[some], own1[some]) >> 3
+                begin[some], end[some] = np.where(two, 0.0, end2[some]), np.where(two, end2[some], end1[some])
+            rare = np.flatnonzero(is3)
+            begin[rare], end[rare] = end0[rare], TOTAL
+            code -= unit * begin
+            np.multiply(unit, end - begin, out=width)
+            even()
+            if len(rare):
+                unit = np.floor(width[rare] / many)
+                which = np.clip(np.floor(code[rare] / unit), 0, many - 1.0)
+                code[rare] -= unit * which
+                width[rare] = unit
+                rank[rare] = which.astype(np.int64)
+                even()
+            ranks[t + 2] = rank
+            past = past << 2 & PAST - 1 | now
+        if z < rows:
+            model.learn(key2.ravel(), ranks[a + 1 : z + 1].ravel(), ranks[a + 2 : z + 2].ravel(), entry2.ravel(), entry1.ravel(), context.ravel(), event.ravel())
+    out = distinct.take(ranks[2:].T.ravel()[:n]).astype(np.uint32) if n else np.zeros(0, np.uint32)
+    if checksum(out) != check:
+        raise ValueError("a block's checksum is wrong")
     return out

@@ -8,7 +8,8 @@ blocks.
 
 Texts are encoded by distinct chunks, which is exact for byte-level tokenizers: a chunk is a run of white space and what
 follows it, cut where ASCII letters, digits and other signs meet, and pre-tokens never cross such a place (apostrophes
-and all above ASCII are never cut off). Texts with white space outside ASCII or with an added token's content, and
+and all above ASCII are never cut off). Chunks are found for all texts of a portion at once, by byte classes, and told
+apart by a hash table of their first 16 bytes; whatever differs from its place's chunk is told apart by its bytes. Texts with white space outside ASCII or with an added token's content, and
 texts for other tokenizers, are encoded whole.
 """
 
@@ -33,15 +34,65 @@ from netloom.llm import mixing
 from netloom.llm.common import binary, blocks, modest, pack, partitions, shared_dir, slices, table, trim, unpack
 from netloom.llm.token_counts import model_bytes
 
-SEGMENT, PIECE = 16 << 20, 1 << 20  # bytes of text in a segment, and of those encoded at once
-BATCH, CHUNKS = 10_000, 150_000  # texts or chunks encoded at once; chunks remembered, before those used once are forgotten
+SEGMENT, PIECE = 16 << 20, 8 << 20  # bytes of text in a segment, and of those encoded at once
+BATCH, CHUNKS = 10_000, 400_000  # texts or chunks encoded at once; chunks remembered, before those used once are forgotten
 _SIGN, _OTHER = rb"[!-&(-/:-@\[-`{-~]", rb"['\x00-\x08\x0e-\x1f\x7f-\xff]"
 _RUN = rb"(?:[A-Za-z]++|[0-9]++|" + _SIGN + rb"++)"
 CHUNK = re.compile(rb"[ \t-\r]*+(?:(?:" + _RUN + rb"?+" + _OTHER + rb"++)++" + _RUN + rb"?+|" + _RUN + rb")|[ \t-\r]++")
+LATIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")  # letters below U+0250
 OTHER_SPACE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"  # UTF-8
 SCHEMA = "shard int, seq int, n_ids long, docs binary, payload binary"
 
 
+def _tables() -> tuple[bytes, bytes]:
+    """(class of each byte; by two bytes' classes, 8 times the first and the second: 1 where a chunk begins)."""
+    kinds = rb"[ \t-\r]", _OTHER, rb"[A-Za-z]", rb"[0-9]", _SIGN
+    kind = bytes(next(k for k, x in enumerate(kinds) if re.fullmatch(x, bytes([b]))) for b in range(256))
+    return kind, bytes(b < 40 and (b % 8 == 0 < b or 1 < b % 8 != b // 8 > 1) for b in range(256))
+
+
+KIND, BEGINS = _tables()
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def chunk_bounds(raw: bytes, ends: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts begin, which are CHUNK's matches, and the end; raw: the texts, `ends`: their ends in it."""
+    begin = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        kind = np.frombuffer(raw.translate(KIND), np.uint8)
+        begin[1:-1] = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(BEGINS), bool)
+    begin[0] = True
+    begin[ends] = True
+    return np.flatnonzero(begin)
+
+
+def distinct_chunks(raw: bytes, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct chunks, the number of each chunk among them)."""
+    at, size = bounds[:-1], np.diff(bounds)
+    if not len(at):
+        return [], np.zeros(0, np.int64)
+    window = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
+    head = window[at] & MASKS.take(size, mode="clip")
+    tail = window[at + 8] & MASKS.take(size - 8, mode="clip")
+    key = head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = (key ^ key >> np.uint64(29)) + size.astype(np.uint64)
+    bits = len(at).bit_length() + 1
+    place = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    held = np.zeros(1 << bits, np.int32)
+    held[place] = np.arange(len(at), dtype=np.int32)
+    like = held.take(place)  # a chunk with the same hash
+    other = np.flatnonzero((head.take(like) != head) | (tail.take(like) != tail) | (size.take(like) != size) | (size > 16))
+    used = np.zeros(len(at), bool)
+    used[np.delete(like, other)] = True  # all chunks like one in `other` are in it as well
+    names = [raw[a:z] for a, z in zip(at[used].tolist(), bounds[1:][used].tolist(), strict=True)]
+    code = (np.cumsum(used) - 1).take(like)
+    if len(other):  # these have no number yet
+        more = _Codes(zip(names, range(len(names)), strict=True))
+        code[other] = [more[raw[a:z]] for a, z in zip(at[other].tolist(), bounds[1:][other].tolist(), strict=True)]
+        names = list(more)
+    return names, code
+
+
 class _Codes(dict):
     def __missing__(self, chunk: bytes) -> int:
         self[chunk] = code = len(self)
@@ -69,8 +120,8 @@ class Chunks:
         self.exact = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
         self.apart = re.compile(b"|".join([OTHER_SPACE, *(re.escape(a.encode()) for a in added if a)]))
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.known = _Codes()
-        self.size, self.flat, self.uses = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.known = _Codes({b"": 0})  # 0 stands for the end of a text
+        self.size, self.flat, self.uses = np.ones(1, np.int64), np.zeros(1, np.uint32), np.zeros(1, np.int64)
 
     def _whole(self, texts: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -78,32 +129,31 @@ class Chunks:
             out += [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[a : a + BATCH]], add_special_tokens=False)]
         return out
 
-    def _ids(self, chunks: list[bytes]) -> list[list[int]]:
-        """A space and Latin letters alone are one pre-token, which the model takes without the steps before it."""
-        out: list[list[int]] = [[]] * len(chunks)
-        rest, model = [], self.tokenizer.model
-        for k, chunk in enumerate(chunks):
-            word = chunk[1:] if chunk[:1] == b" " else chunk
-            if word.isalpha() or (text := word.decode()).isalpha() and max(text) < "\u0250":
-                out[k] = [t.id for t in model.tokenize(chunk.decode("latin-1").translate(self.letters))]
-            else:
-                rest.append(k)
-        for k, ids in zip(rest, self._whole([chunks[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
-
     def _learn(self, chunks: list[bytes]) -> None:
-        own = self._ids(chunks)
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(own), np.uint32, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
-        self.uses = np.concatenate([self.uses, np.zeros(len(own), np.int64)])
+        """A space and Latin letters alone are one pre-token, which the model takes without the steps before it."""
+        size, tokens = np.zeros(len(chunks), np.int64), self.tokenizer.model.tokenize
+        latin = np.fromiter((LATIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        words, rest = np.flatnonzero(latin), np.flatnonzero(~latin)
+        flat, many = [], []
+        if len(words):
+            for word in b"\n".join(chunks[k] for k in words.tolist()).decode("latin-1").translate(self.letters).split(self.letters[10]):
+                found = tokens(word)
+                flat += [t.id for t in found]
+                many.append(len(found))
+        other = self._whole([chunks[k] for k in rest.tolist()])
+        size[words], size[rest] = many, [len(x) for x in other]
+        ids = np.zeros(size.sum(), np.uint32)
+        mine = np.repeat(latin, size)
+        ids[mine], ids[~mine] = flat, list(chain.from_iterable(other))
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def _forget(self) -> None:
         """Chunks used once, and all of them if most were used again."""
         stay = self.uses > 1
         if stay.sum() > CHUNKS // 2:
             stay[:] = False
+        stay[0] = True
         self.known = _Codes(zip((c for c, s in zip(self.known, stay.tolist(), strict=True) if s), range(int(stay.sum())), strict=True))
         self.flat = self.flat[np.repeat(stay, self.size)]
         self.size, self.uses = self.size[stay], np.zeros(int(stay.sum()), np.int64)
@@ -113,17 +163,27 @@ class Chunks:
         if len(self.known) > CHUNKS:
             self._forget()
         before = len(self.known)
-        parts = [CHUNK.findall(t) if self.exact and not self.apart.search(t) else None for t in texts]
-        whole = [k for k, p in enumerate(parts) if p is None]
-        count = np.array([len(p or ()) for p in parts], np.int64)
-        code = np.fromiter(map(self.known.__getitem__, chain.from_iterable(p for p in parts if p)), np.int64, int(count.sum()))
-        del parts
+        whole = [k for k, t in enumerate(texts) if not self.exact or self.apart.search(t)]
+        if whole:
+            apart = set(whole)
+            raw, ends = b"".join(t for k, t in enumerate(texts) if k not in apart), np.cumsum([0 if k in apart else len(t) for k, t in enumerate(texts)])
+        else:
+            raw, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        ends = ends.astype(np.int64)
+        bounds = chunk_bounds(raw, ends)
+        names, code = distinct_chunks(raw, bounds)
+        own = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        del names
         self._learn(list(islice(self.known, before, None)))
+        code = own.take(code)
         self.uses += np.bincount(code, minlength=len(self.known))
-        begin, n = np.cumsum(self.size) - self.size, self.size[code]
-        ids = self.flat[np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(count)]
-        ids, size = np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
+        count = np.searchsorted(bounds, ends)  # chunks up to the end of each text
+        code = np.insert(code, count, 0)
+        self.flat[0] = end
+        begin, n = np.cumsum(self.size) - self.size, self.size.take(code)
+        last = np.cumsum(n)
+        ids = self.flat.take(np.repeat(begin.take(code) - (last - n), n) + np.arange(n.sum()))
+        size = np.diff(last.take(count + np.arange(len(texts))), prepend=0)
         if whole:
             each = np.split(ids, np.cumsum(size)[:-1])
             for k, own in zip(whole, self._whole([texts[k] for k in whole]), strict=True):

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -204,6 +205,45 @@ def test_chunks_of_mixed_signs():
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*own.encode(x, add_special_tokens=False).ids, 0] for x in texts[a : a + 500]]
         c._forget()
 
+def test_coder_of_lanes():
+    rng = np.random.default_rng(5)
+    sizes = (1, 1023, 1024, 2047, 2048, 2049, 5000, 70_001)
+    blocks = [(rng.zipf(1.3, n) % 50_000).astype(np.uint32) for n in sizes] + [rng.integers(0, 1 << 29, 200_000), np.tile(rng.integers(0, 40_000, 3000), 20), np.arange(150_000)]
+    coded = mixing.encode_blocks(blocks)
+    assert all(np.array_equal(a, mixing.decode_blocks([b])[0]) for a, b in zip(blocks, coded, strict=True))  # each alone
+    assert len(coded[9]) < 20_000  # lanes learn from each other
+    for bad in (coded[6][:-2], coded[6] + b"\0\0", coded[6][:-9] + bytes([coded[6][-9] ^ 4]) + coded[6][-8:], coded[0][:20] + coded[6][20:]):
+        with pytest.raises(ValueError):
+            mixing.decode_blocks([bad])
+
+
+def test_chunks_are_the_pattern_s():
+    rng = random.Random(4)
+    signs = [" ", "\n", "\t", "\r", "a", "Zb", "é", "'", "7", "42", "(", ").", "\x00", "\x1c", "\x7f", "日本", "a" * 17, "b" * 40]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))).encode() for _ in range(4000)]
+    want = [c for t in texts for c in token_files.CHUNK.findall(t)]
+    raw = b"".join(texts)
+    bounds = token_files.chunk_bounds(raw, np.cumsum([len(t) for t in texts]))
+    assert [raw[a:z] for a, z in zip(bounds, bounds[1:], strict=False)] == want
+    names, code = token_files.distinct_chunks(raw, bounds)
+    assert [names[k] for k in code] == want and len(set(names)) == len(names)
+    assert token_files.chunk_bounds(b"", np.zeros(2, int)).tolist() == [0] and token_files.distinct_chunks(b"", np.zeros(1, int))[0] == []
+
+
+def test_token_files_cost_less_than_encoding_each_text():
+    """Chunks, coder and decoder together, against the CPU time of the library alone on the same texts."""
+    import pyarrow.parquet as pq
+
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()] * 3
+    c = token_files.Chunks(token_counts.model_bytes("byte_bpe_50k.json"))
+    a = time.process_time()
+    want = c._whole(texts)
+    b = time.process_time()
+    ids, _ = c(texts, 0)
+    got = np.concatenate(mixing.decode_blocks(mixing.encode_blocks(mixing.cut(ids))))
+    assert time.process_time() - b < b - a
+    assert np.array_equal(got, np.concatenate([[*x, 0] for x in want]))
+
 
 def test_nearest_gives_k_to_an_outlier(spark):
     rng = np.random.default_rng(1)
