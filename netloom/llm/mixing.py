@@ -100,7 +100,7 @@ class _Model:
         """What came in an epoch, in the order of rows, and within a row of lanes."""
         for table, at, entry in ((self.table2, key2, entry2), (self.table1, last, entry1)):
             trust, new = entry & 7, ranks << 3 | 1
-            table[at] = np.where(entry >> 3 == ranks, np.where(trust == 0, new, entry + (trust < TRUST)), np.where(trust > 1, entry - 1, new))
+            table[at] = np.where(entry >> 3 == ranks, entry + (trust < TRUST), np.where(trust > 1, entry - 1, new))
         self.count += np.bincount(ranks, minlength=len(self.count))
         came = np.bincount(context << 2 | event, minlength=len(self.by_trust) * PAST * 4).reshape(-1, PAST, 4)
         trust, past = self._shares()
@@ -181,16 +181,16 @@ def _encode(block: np.ndarray) -> bytes:
 
 
 class _Encoder:
-    """Range coders of all lanes: low is below 2^48, width above 2^32 between two ids."""
+    """Range coders of all lanes: low is below 2^48, width above 2^32 between two ids. Words lie by their number, then by lane."""
 
     def __init__(self, lanes: int, rows: int):
-        self.low, self.width = np.zeros(lanes), np.full(lanes, LOW)
-        self.words, self.count = np.zeros((lanes, rows * 5 // 8 + 16), np.uint16), np.zeros(lanes, np.int64)
-        self.asked: list[tuple[np.ndarray, np.ndarray]] = []  # lanes that emit a word, and its number
+        self.lanes, self.low, self.width = lanes, np.zeros(lanes), np.full(lanes, LOW)
+        self.words, self.next = np.zeros((rows * 5 // 8 + 16) * lanes, np.uint16), np.arange(lanes)  # places of the next words
+        self.asked: list[np.ndarray] = []  # places of words, in the order in which they were emitted
 
     def put(self, begin: np.ndarray, size: np.ndarray) -> None:
-        if self.count.max() + 8 > self.words.shape[1]:  # an id takes 4 words at most, the end 3
-            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1] // 2 + 16)))
+        if self.next.max() + 8 * self.lanes > len(self.words):  # an id takes 4 words at most, the end 3
+            self.words = np.concatenate([self.words, np.zeros(len(self.words) // 2 + 16 * self.lanes, np.uint16)])
         unit = np.floor(self.width * (1 / TOTAL))
         self.low += unit * begin
         np.multiply(unit, size, out=self.width)
@@ -205,32 +205,30 @@ class _Encoder:
     def _even(self) -> None:
         if len(over := np.flatnonzero(self.low >= LOW)):
             self.low[over] -= LOW
-            at = self.count[over] - 1
-            while len(over):
-                self.words[over, at] += np.uint16(1)
-                on = self.words[over, at] == 0
-                over, at = over[on], at[on] - 1
-        while len(short := np.flatnonzero(self.width <= SHORT)):
-            at = self.count[short]
-            self.asked.append((short.astype(np.int16), at.astype(np.int32)))
-            self._emit(short, at)
-            self.width[short] *= WORD
-
-    def _emit(self, some: np.ndarray, at: np.ndarray) -> None:
-        low = self.low[some]
+            at = self.next[over] - self.lanes
+            while len(at):
+                self.words[at] += np.uint16(1)
+                at = at[self.words[at] == 0] - self.lanes
+        short = np.flatnonzero(self.width <= SHORT)
+        while len(short):
+            self.asked.append(self._emit(short).astype(np.int32))
+            self.width[short] = wide = self.width[short] * WORD
+            short = short[wide <= SHORT]
+
+    def _emit(self, some: np.ndarray) -> np.ndarray:
+        at, low = self.next[some], self.low[some]
         word = np.floor(low * (1 / SHORT))
-        self.words[some, at] = word.astype(np.uint16)
+        self.words[at] = word.astype(np.uint16)
         self.low[some] = (low - word * SHORT) * WORD
-        self.count[some] = at + 1
+        self.next[some] = at + self.lanes
+        return at
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """(the first three words of each lane, which a decoder begins with; the others as it asks for them)."""
-        for _ in range(3 if len(self.low) else 0):
-            self._emit(np.arange(len(self.low)), self.count)
-        if not self.asked:
-            return self.words[:, :3], np.zeros(0, np.uint16)
-        lane, at = (np.concatenate(x) for x in zip(*self.asked, strict=True))
-        return self.words[:, :3], self.words[lane, at + 3]
+        """(the first three words of all lanes, which a decoder begins with; the others as it asks for them, three later)."""
+        for _ in range(3 if self.lanes else 0):
+            self._emit(np.arange(self.lanes))
+        asked = np.concatenate([np.zeros(0, np.int32), *self.asked])
+        return self.words[: 3 * self.lanes], self.words.take(asked + 3 * self.lanes)
 
 
 def decode_blocks(blobs: list[bytes]) -> list[np.ndarray]:
@@ -248,19 +246,21 @@ def _decode(blob: bytes) -> np.ndarray:
         raise ValueError("a block is damaged") from e
     if n > BLOCK or len(distinct) != many or (n and not many) or len(blob) != at + 2 * (3 * lanes + held):
         raise ValueError("a block is damaged")
-    start = np.frombuffer(blob, "<u2", 3 * lanes, at).reshape(lanes, 3).astype(np.float64)
+    start = np.frombuffer(blob, "<u2", 3 * lanes, at).reshape(3, lanes).astype(np.float64)
     stream = np.frombuffer(blob, "<u2", held, at + 6 * lanes).astype(np.float64)
-    code, width, used = start[:, 0] * SHORT + start[:, 1] * WORD + start[:, 2], np.full(lanes, LOW), 0  # code is relative to the coder's low
+    code, width, used = start[0] * SHORT + start[1] * WORD + start[2], np.full(lanes, LOW), 0  # code is relative to the coder's low
 
     def even() -> None:
         nonlocal used
-        while len(short := np.flatnonzero(width <= SHORT)):
+        short = np.flatnonzero(width <= SHORT)
+        while len(short):
             own = stream[used : used + len(short)]
             if len(own) < len(short):
                 raise ValueError("a block is damaged")
             used += len(short)
             code[short] = code[short] * WORD + own
-            width[short] *= WORD
+            width[short] = wide = width[short] * WORD
+            short = short[wide <= SHORT]
 
     model = _Model(many) if n else None
     ranks = np.zeros((rows + 2, lanes), np.int64)  # after two rows of nothing
@@ -278,13 +278,13 @@ def _decode(blob: bytes) -> np.ndarray:
             context[k] = at = ((own2 & 7) * (TRUST + 1) + (own1 & 7)) * PAST + past
             end2, end1, end0 = model.end2.take(at), model.end1.take(at), model.end0.take(at)
             unit = np.floor(width * (1 / TOTAL))
-            value = np.minimum(np.floor(code / unit), TOTAL - 1.0)
+            value = np.floor(code / unit)
             is2, not1, is3 = value < end2, value >= end1, value >= end0
             event[k] = now = not1.astype(np.int64) + is3 + ~is2
             room = end0 - end1
-            slot = np.clip(np.floor(((value - end1 + 1) * SLOTS - 1) / room), 0, SLOTS - 1.0).astype(np.int64)
+            slot = np.floor(((value - end1 + 1) * SLOTS - 1) / room).astype(np.int64)
             share = room / SLOTS
-            rank = slot_rank.take(slot)
+            rank = slot_rank.take(slot, mode="clip")  # of order 0; otherwise none is in bounds
             begin, end = end1 + np.floor(model.first.take(rank) * share), end1 + np.floor(model.last.take(rank) * share)
             if len(some := np.flatnonzero(~not1)):
                 two = is2[some]
@@ -297,7 +297,7 @@ def _decode(blob: bytes) -> np.ndarray:
             even()
             if len(rare):
                 unit = np.floor(width[rare] / many)
-                which = np.clip(np.floor(code[rare] / unit), 0, many - 1.0)
+                which = np.minimum(np.floor(code[rare] / unit), many - 1.0)
                 code[rare] -= unit * which
                 width[rare] = unit
                 rank[rare] = which.astype(np.int64)

@@ -16,6 +16,7 @@ texts for other tokenizers, are encoded whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -34,8 +35,9 @@ from netloom.llm import mixing
 from netloom.llm.common import binary, blocks, modest, pack, partitions, shared_dir, slices, table, trim, unpack
 from netloom.llm.token_counts import model_bytes
 
-SEGMENT, PIECE = 16 << 20, 8 << 20  # bytes of text in a segment, and of those encoded at once
-BATCH, CHUNKS = 10_000, 400_000  # texts or chunks encoded at once; chunks remembered, before those used once are forgotten
+SEGMENT, PIECE = 16 << 20, 20 << 20  # bytes of text in a segment, and of those encoded at once
+BATCH, CHUNKS = 10_000, 600_000  # texts or chunks encoded at once; chunks remembered, before those used once are forgotten
+LINES = 5000  # words given to the model as one text
 _SIGN, _OTHER = rb"[!-&(-/:-@\[-`{-~]", rb"['\x00-\x08\x0e-\x1f\x7f-\xff]"
 _RUN = rb"(?:[A-Za-z]++|[0-9]++|" + _SIGN + rb"++)"
 CHUNK = re.compile(rb"[ \t-\r]*+(?:(?:" + _RUN + rb"?+" + _OTHER + rb"++)++" + _RUN + rb"?+|" + _RUN + rb")|[ \t-\r]++")
@@ -72,16 +74,23 @@ def distinct_chunks(raw: bytes, bounds: np.ndarray) -> tuple[list[bytes], np.nda
     if not len(at):
         return [], np.zeros(0, np.int64)
     window = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
-    head = window[at] & MASKS.take(size, mode="clip")
-    tail = window[at + 8] & MASKS.take(size - 8, mode="clip")
-    key = head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F)
-    key = (key ^ key >> np.uint64(29)) + size.astype(np.uint64)
+    key = window[at] & MASKS.take(size, mode="clip") | size.astype(np.uint64) << np.uint64(56)  # the whole of a chunk of 7 bytes
+    long = np.flatnonzero(size > 7)
+    head, tail = window[at[long]], window[at[long] + 8] & MASKS.take(size[long] - 8, mode="clip")
+    mixed = head * np.uint64(0x9E3779B97F4A7C15) ^ tail * np.uint64(0xC2B2AE3D27D4EB4F)
+    key[long] = (mixed ^ mixed >> np.uint64(29)) & MASKS[7] | size[long].astype(np.uint64) << np.uint64(56)
     bits = len(at).bit_length() + 1
-    place = (key * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    place = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    place = (place >> np.uint64(64 - bits)).astype(np.int64)
     held = np.zeros(1 << bits, np.int32)
     held[place] = np.arange(len(at), dtype=np.int32)
-    like = held.take(place)  # a chunk with the same hash
-    other = np.flatnonzero((head.take(like) != head) | (tail.take(like) != tail) | (size.take(like) != size) | (size > 16))
+    like = held.take(place)  # a chunk with the same place
+    other = key.take(like) != key
+    row = np.zeros(len(at), np.int32)
+    row[long] = np.arange(len(long))
+    twin = row.take(like[long])
+    other[long] |= (head.take(twin) != head) | (tail.take(twin) != tail) | (size[long] > 16)
+    other = np.flatnonzero(other)
     used = np.zeros(len(at), bool)
     used[np.delete(like, other)] = True  # all chunks like one in `other` are in it as well
     names = [raw[a:z] for a, z in zip(at[used].tolist(), bounds[1:][used].tolist(), strict=True)]
@@ -111,6 +120,7 @@ class Chunks:
 
     def __init__(self, tokenizer_json: bytes):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
         self.tokenizer.no_truncation()
@@ -120,6 +130,11 @@ class Chunks:
         self.exact = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not own.get("normalizer")
         self.apart = re.compile(b"|".join([OTHER_SPACE, *(re.escape(a.encode()) for a in added if a)]))
         self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes of each id
+        self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
         self.known = _Codes({b"": 0})  # 0 stands for the end of a text
         self.size, self.flat, self.uses = np.ones(1, np.int64), np.zeros(1, np.uint32), np.zeros(1, np.int64)
 
@@ -129,29 +144,38 @@ class Chunks:
             out += [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts[a : a + BATCH]], add_special_tokens=False)]
         return out
 
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each). A space and Latin letters alone are one pre-token, which the model
+        takes without the steps before it: here a line of letters that stand for bytes. Ids are told apart by their bytes."""
+        lines = b"\n".join(words).decode("latin-1").translate(self.letters).split(self.letters[10])
+        texts = ["\n".join(lines[k : k + LINES]) for k in range(0, len(lines), LINES)]
+        flat = np.concatenate([np.array(x.ids, np.uint32) for x in self.lines.encode_batch_fast(texts, add_special_tokens=False)])
+        end, want = np.cumsum(self.width.take(flat)), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = np.searchsorted(end, want)
+        if end[-1] != want[-1] or not np.array_equal(end.take(at), want):  # a model that leaves bytes out
+            own = self._whole(words)
+            return np.fromiter(chain.from_iterable(own), np.uint32), np.fromiter(map(len, own), np.int64)
+        return flat, np.diff(at, prepend=-1)
+
     def _learn(self, chunks: list[bytes]) -> None:
-        """A space and Latin letters alone are one pre-token, which the model takes without the steps before it."""
-        size, tokens = np.zeros(len(chunks), np.int64), self.tokenizer.model.tokenize
-        latin = np.fromiter((LATIN.fullmatch(c) is not None for c in chunks), bool, len(chunks))
-        words, rest = np.flatnonzero(latin), np.flatnonzero(~latin)
-        flat, many = [], []
-        if len(words):
-            for word in b"\n".join(chunks[k] for k in words.tolist()).decode("latin-1").translate(self.letters).split(self.letters[10]):
-                found = tokens(word)
-                flat += [t.id for t in found]
-                many.append(len(found))
+        if not chunks:
+            return
+        latin = np.array([m is not None for m in map(LATIN.fullmatch, chunks)])
+        size, words, rest = np.zeros(len(chunks), np.int64), np.flatnonzero(latin), np.flatnonzero(~latin)
         other = self._whole([chunks[k] for k in rest.tolist()])
-        size[words], size[rest] = many, [len(x) for x in other]
-        ids = np.zeros(size.sum(), np.uint32)
-        mine = np.repeat(latin, size)
+        size[rest] = [len(x) for x in other]
+        flat = np.zeros(0, np.uint32)
+        if len(words):
+            flat, size[words] = self._words([chunks[k] for k in words.tolist()])
+        ids, mine = np.zeros(size.sum(), np.uint32), np.repeat(latin, size)
         ids[mine], ids[~mine] = flat, list(chain.from_iterable(other))
         self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, size])
         self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def _forget(self) -> None:
-        """Chunks used once, and all of them if most were used again."""
+        """Chunks used once, and all of them if three quarters were used again."""
         stay = self.uses > 1
-        if stay.sum() > CHUNKS // 2:
+        if stay.sum() > CHUNKS * 3 // 4:
             stay[:] = False
         stay[0] = True
         self.known = _Codes(zip((c for c, s in zip(self.known, stay.tolist(), strict=True) if s), range(int(stay.sum())), strict=True))
@@ -195,6 +219,7 @@ class Chunks:
 @lru_cache(maxsize=2)
 def chunks(tokenizer_json: bytes) -> Chunks:
     """Kept between the tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
     return Chunks(tokenizer_json)
 
 
